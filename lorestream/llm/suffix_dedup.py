@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +170,19 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstandard frames, for the one shuffle that carries them."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([squeeze.compress(t) for t in _texts(batch)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    open_up = zstandard.ZstdDecompressor()
+    return [open_up.decompress(x) for x in batch.column("packed").to_pylist()]
+
+
 def _tags(texts: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in texts], dtype=np.int64)
 
@@ -183,36 +197,95 @@ def _gram_rows(length: int):
     return run
 
 
+_STRETCH = "kind int, h1 long, h2 long, gram long, doc_id long, tag long, start int, windows int"
+
+
+def _stretches(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = [np.int32, *[np.int64] * 5, np.int32, np.int32]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _STRETCH.split(", ")])
+
+
+def _split_copies(h1, h2, gram, doc, tag, start, windows) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The earliest stretch of each digest, and the later ones, both without repeated places."""
+    cols = [c for c in (h1, h2, gram, doc, tag, start, windows)]
+    o = np.lexsort((start, tag, doc, h2, h1))
+    cols = [c[o] for c in cols]
+    same = np.zeros(len(o), dtype=bool)
+    same[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+    twice = same.copy()
+    twice[1:] &= (cols[3][1:] == cols[3][:-1]) & (cols[4][1:] == cols[4][:-1]) & (cols[5][1:] == cols[5][:-1])
+    return [c[~same] for c in cols], [c[same & ~twice] for c in cols]
+
+
+def _joined(doc, tag, start, windows, length) -> tuple[np.ndarray, ...]:
+    """Neighbouring or overlapping runs of repeated windows as one run."""
+    o = np.lexsort((start, tag, doc))
+    doc, tag, start, stop = doc[o], tag[o], start[o], start[o] + windows[o] + length - 1
+    if not len(doc):
+        return doc, tag, start, stop
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > stop[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], tag[at], start[at], np.maximum.reduceat(stop, at)
+
+
 def _stretch_rows(length: int):
+    """Stretches on repeated anchors. Copies that one batch can see itself leave as kind 0, dealt by
+    their own place, so that a digest has at most one row of kind 1 from each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = _texts(batch), batch.column("doc_id").to_numpy()
+            texts, ids = _unpacked(batch), batch.column("doc_id").to_numpy()
             tags = _tags(texts)
             lists = batch.column("grams")
             offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            wanted = pa.table({"r": np.repeat(np.arange(len(texts)), np.diff(offsets)), "g": flat[offsets[0] : offsets[-1]]})
-            w = np.rec.fromarrays([wanted["r"].to_numpy(), wanted["g"].to_numpy()], names="r,g")
-            w = np.unique(_pair(w.r, w.g))
+            flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            wanted = np.unique(_pair(np.repeat(np.arange(len(texts)), np.diff(offsets)), flat))
+            found: list[list[np.ndarray]] = []
             for x in _anchors(texts, length, True):
-                found = np.isin(_pair(x["row"], x["gram"]), w)
-                r = x["row"][found]
-                cols = [x["gram"][found], x["h1"][found], x["h2"][found], ids[r], tags[r], x["start"][found].astype(np.int32), x["windows"][found].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "h1", "h2", "doc_id", "tag", "start", "windows"])
+                key = _pair(x["row"], x["gram"])
+                hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                r = x["row"][hit]
+                found.append([x["h1"][hit], x["h2"][hit], x["gram"][hit], ids[r], tags[r], x["start"][hit], x["windows"][hit]])
+            if not found:
+                continue
+            first, later = _split_copies(*(np.concatenate(c) for c in zip(*found)))
+            yield _stretches([np.ones(len(first[0])), *first])
+            doc, tag, start, stop = _joined(*later[3:], length)
+            spread = _mix(doc.view(np.uint64) + start.astype(np.uint64) * _U(_BASE)).view(np.int64)
+            zero = np.zeros(len(doc), dtype=np.int64)
+            yield _stretches([zero, spread, zero, zero, doc, tag, start, stop - start - length + 1])
+
+    return run
+
+
+def _classify(length: int):
+    """Of batches sorted by digest: kind 1 rows, the earliest of each digest; kind 0 rows, runs that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "h1"):
+            cols = [c.to_numpy() for c in table.columns]
+            one = cols[0] == 1
+            first, later = _split_copies(*(c[one] for c in cols[1:]))
+            yield _stretches([np.ones(len(first[0])), *first])
+            known = [np.concatenate([a, c[~one]]) for a, c in zip(later, cols[1:])]
+            doc, tag, start, stop = _joined(*known[3:], length)
+            zero = np.zeros(len(doc), dtype=np.int64)
+            yield _stretches([zero, zero, zero, zero, doc, tag, start, stop - start - length + 1])
 
     return run
 
 
 def _pair(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """A row of the batch and a k-gram hash as one number; a clash only keeps an anchor that is unique."""
-    return _mix(gram.view(np.uint64) + row.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return _mix(gram.view(np.uint64) + row.astype(np.uint64) * _U(_BASE))
 
 
 def _bytes_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "doc_id", "tag", "start", "bytes"]
         for batch in batches:
-            texts = _texts(batch)
+            texts = _unpacked(batch)
             tags = _tags(texts)
             rows: list[tuple] = []
             size = 0
@@ -330,26 +403,52 @@ def equal_windows(text: bytes, at: np.ndarray, group: np.ndarray, length: int) -
                 yield np.array([index[p] for p in leaf])
 
 
+def _window_digests(parts: list[bytes], length: int) -> np.ndarray:
+    """A 64-bit hash of every window of every part, in order."""
+    out = []
+    for pack in _packs(parts, length):
+        sizes = np.array([len(p) for _, _, p in pack])
+        windows = sizes - length + 1
+        first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows), windows)
+        at = first + np.arange(windows.sum())
+        out.append(_Rolling(np.frombuffer(b"".join(p for _, _, p in pack), dtype=np.uint8), 0)(at, at + length))
+    return np.concatenate(out)
+
+
 def _sorted_repeats(length: int):
-    """Repeated windows among stretches that share an anchor, from batches sorted by it."""
+    """Repeated windows among stretches that share an anchor, from batches sorted by it.
+
+    Windows whose hash is unique beside their anchor cannot repeat and are not sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "gram"):
-            _, group = np.unique(table.column("gram").to_numpy(), return_inverse=True)
-            parts = table.column("bytes").to_pylist()
+            grams, ids, tags, begin = (table.column(c).to_numpy() for c in ("gram", "doc_id", "tag", "start"))
+            o = np.lexsort((begin, tags, ids, grams))
+            new = np.ones(len(o), dtype=bool)
+            new[1:] = np.any([x[o[1:]] != x[o[:-1]] for x in (grams, ids, tags, begin)], axis=0)
+            o = o[new]
+            ids, tags, begin = ids[o], tags[o], begin[o]
+            _, group = np.unique(grams[o], return_inverse=True)
+            parts = table.column("bytes").take(pa.array(o)).to_pylist()
             sizes = np.array([len(p) for p in parts])
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            first = np.cumsum(sizes) - sizes
             windows = sizes - length + 1
             owner = np.repeat(np.arange(len(parts)), windows)
             inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            ids, tags = table.column("doc_id").to_numpy(), table.column("tag").to_numpy()
-            starts = table.column("start").to_numpy()[owner] + inside
-            rank = np.empty(len(owner), dtype=np.int64)
-            rank[np.lexsort((starts, tags[owner], ids[owner]))] = np.arange(len(owner))
+            key = _mix(_window_digests(parts, length) + group[owner].astype(np.uint64) * _U(_BASE))
+            by = np.argsort(key)
+            twin = key[by[1:]] == key[by[:-1]]
+            some = np.zeros(len(key), dtype=bool)
+            some[by[1:]] = twin
+            some[by[:-1]] |= twin
+            some = np.flatnonzero(some)
+            starts = begin[owner] + inside
             repeated = np.zeros(len(owner), dtype=bool)
-            for same in equal_windows(b"".join(parts), first[owner] + inside, group[owner], length):
+            for same in equal_windows(b"".join(parts), (first[owner] + inside)[some], group[owner[some]], length):
+                same = some[same]
                 repeated[same] = True
-                repeated[same[np.argmin(rank[same])]] = False
+                repeated[same[np.lexsort((starts[same], tags[owner[same]], ids[owner[same]]))[0]]] = False
             yield _runs(ids, tags, owner, starts, repeated, length)
 
     return run
@@ -386,36 +485,36 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100, crowd: int = 256) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs with a doc_id as (doc_id, packed)."""
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary").where("doc_id is not null")
+
+
+def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd: int = 256) -> DataFrame:
     """(doc_id, tag, start, stop): byte ranges, overlapping ones included, whose union goes.
 
-    docs has doc_id (integer, not null) and text. crowd: an anchor with more
+    docs has doc_id (integer, not null) and text; packed is packed_texts of them. crowd: an anchor with more
     different stretches than this is worked on by window digests, in many tasks.
     """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = docs.mapInArrow(_gram_rows(length), "gram long, doc_id long")
     often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     grams = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    stretches = docs.join(grams, "doc_id").select("doc_id", "text", "grams").mapInArrow(
-        _stretch_rows(length), "gram long, h1 long, h2 long, doc_id long, tag long, start int, windows int"
-    )
+    found = packed.join(grams, "doc_id").select("doc_id", "packed", "grams").mapInArrow(_stretch_rows(length), _STRETCH)
+    known = found.repartition(n, "h1", "h2").sortWithinPartitions("h1").mapInArrow(_classify(length), _STRETCH)
     place = F.struct("doc_id", "tag", "start")
-    firsts = stretches.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("gram").alias("gram"), F.first("windows").alias("windows"))
-    copies = (
-        stretches.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
-        .where(place != F.col("first"))
-        .select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("stop"))
-    )
+    copies = known.where("kind = 0").select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("stop"))
+    firsts = known.where("kind = 1")
     contested = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     parts = (
         firsts.join(contested, "gram")
-        .select(F.col("first.doc_id").alias("doc_id"), F.struct(F.when(F.col("n") > crowd, F.lit(1)).otherwise(F.lit(0)).alias("hot"), "first.tag", "first.start", "windows", "gram").alias("part"))
+        .select("doc_id", F.struct(F.when(F.col("n") > crowd, F.lit(1)).otherwise(F.lit(0)).alias("hot"), "tag", "start", "windows", "gram").alias("part"))
         .groupBy("doc_id", "part.hot")
         .agg(F.collect_list("part").alias("parts"))
     )
     schema = "gram long, doc_id long, tag long, start int, bytes binary"
-    few, many = (docs.join(parts.where(F.col("hot") == h), "doc_id").select("doc_id", "text", "parts").mapInArrow(_bytes_rows(length), schema) for h in (0, 1))
+    few, many = (packed.join(parts.where(F.col("hot") == h), "doc_id").select("doc_id", "packed", "parts").mapInArrow(_bytes_rows(length), schema) for h in (0, 1))
     span = "doc_id long, tag long, start int, stop int"
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_sort = few.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_repeats(length), span)
     windows = many.mapInArrow(_window_rows(length), "digest binary, doc_id long, tag long, start int")
     seen = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -425,7 +524,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, crowd: int = 256) -> Dat
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch)
+        texts = _unpacked(batch)
         tags = _tags(texts)
         out: list[tuple] = []
         for text, tag, ranges in zip(texts, tags, batch.column("ranges").to_pylist()):
@@ -441,7 +540,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        keep = [(n, batch.column(n)) for n in batch.schema.names if n not in ("text", "ranges")]
+        keep = [(n, batch.column(n)) for n in batch.schema.names if n not in ("packed", "ranges")]
         yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[n for n, _ in keep] + names)
 
 
@@ -451,9 +550,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256) -> Data
     kept_text is the remaining bytes as text; a character of which only some
     bytes went is dropped from it (kept_sha256 is of the exact bytes).
     """
-    known = docs.select("doc_id", "text").where("doc_id is not null")
-    ranges = repeated_ranges(known, length, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("ranges"))
-    joined = known.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
-    nameless = docs.select("doc_id", "text").where("doc_id is null").withColumn("ranges", F.lit(None).cast(joined.schema["ranges"].dataType))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    packed = packed_texts(known)
+    ranges = repeated_ranges(known, packed, length, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("ranges"))
+    joined = packed.join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges")
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_pack, "doc_id long, packed binary")
+    nameless = nameless.withColumn("ranges", F.lit(None).cast(joined.schema["ranges"].dataType))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_cut, out).unionByName(nameless.mapInArrow(_cut, out))
