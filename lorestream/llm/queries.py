@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorestream.llm import suffix_dedup
+from lorestream.llm import embedding_dedup, jaccard_join, mixing, packing, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,41 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: counts of the base rules, compression ratios and the verdict."""
+    return quality_rules.with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its source's target and the words the mix takes of it, with the shards they go to."""
+    out = mixing.plan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per token piece: its checksum, sequence and offset."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: links at cosine 0.98 or more within its label, and its component."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its component under Jaccard 0.85 or more on four-word shingles."""
+    return jaccard_join.join_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

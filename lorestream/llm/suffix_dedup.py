@@ -40,62 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestream.llm.common import whole_groups
+from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAM = 28
-_BASE = 0x9E3779B97F4A7C15
-_BASE2 = 0xD1342543DE82EF95
 _SEGMENT = 1 << 18
 _SHALLOW = 32
-_U = np.uint64
-
-
-def _tables() -> tuple[np.ndarray, ...]:
-    rng = np.random.default_rng(20260101)
-    out = [rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2)]
-    n = _SEGMENT * 2 + 4096
-    for base in (_BASE, _BASE2):
-        up = np.full(n, base, dtype=np.uint64)
-        up[0] = 1
-        np.cumprod(up, out=up)
-        inverse = pow(base, -1, 1 << 64)
-        down = np.full(n, inverse, dtype=np.uint64)
-        down[0] = 1
-        np.cumprod(down, out=down)
-        out += [up, down]
-    return tuple(out)
-
-
-_T: tuple[np.ndarray, ...] = ()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
-    x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(29)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(32)
-    return x
-
-
-class _Rolling:
-    """Hashes of any substring of a buffer, by prefix sums modulo 2^64."""
-
-    def __init__(self, buf: np.ndarray, which: int) -> None:
-        global _T
-        if not _T:
-            _T = _tables()
-        self.down = _T[3 + 2 * which]
-        if len(buf) > len(self.down):
-            raise ValueError("buffer too long")
-        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_T[which][buf] * _T[2 + 2 * which][: len(buf)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
-
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return _mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
 def _segments(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -125,10 +74,10 @@ def _anchors(texts: list[bytes], length: int, digests: bool) -> Iterator[dict[st
     width = length - GRAM + 1
     for pack in _packs(texts, length):
         buf = np.frombuffer(b"".join(p for _, _, p in pack), dtype=np.uint8)
-        roll = _Rolling(buf, 0)
+        roll = Rolling(buf, 0)
         gram = roll.grams(GRAM)
         n = len(gram)
-        ranked = (gram & _U(0xFFFFFFFFFFFFFFFF ^ 0xFFFFF)) | np.arange(n, dtype=np.uint64)
+        ranked = (gram & U(0xFFFFFFFFFFFFFFFF ^ 0xFFFFF)) | np.arange(n, dtype=np.uint64)
         blocks = -(-n // width)
         padded = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
         padded[:n] = ranked
@@ -137,7 +86,7 @@ def _anchors(texts: list[bytes], length: int, digests: bool) -> Iterator[dict[st
         behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
         m = n - width + 1
         least = np.minimum(behind[:m], ahead[width - 1 : width - 1 + m])
-        place = (least & _U(0xFFFFF)).astype(np.int64)
+        place = (least & U(0xFFFFF)).astype(np.int64)
         sizes = np.array([len(p) for _, _, p in pack])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         good = np.zeros(m + 1, dtype=np.int32)
@@ -160,7 +109,7 @@ def _anchors(texts: list[bytes], length: int, digests: bool) -> Iterator[dict[st
         }
         if digests:
             end = stop + length - 1
-            one, two = roll(start, end), _Rolling(buf, 1)(start, end)
+            one, two = roll(start, end), Rolling(buf, 1)(start, end)
             out["h1"] = (one ^ gram[place[start]]).view(np.int64)
             out["h2"] = two.view(np.int64)
         yield out
@@ -178,6 +127,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "packed"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
     open_up = zstandard.ZstdDecompressor()
     return [open_up.decompress(x) for x in batch.column("packed").to_pylist()]
@@ -188,11 +143,14 @@ def _tags(texts: list[bytes]) -> np.ndarray:
 
 
 def _gram_rows(length: int):
+    """Anchors of each document; n is 2 for those it has more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for x in _anchors(_texts(batch), length, False):
-                yield pa.RecordBatch.from_arrays([pa.array(x["gram"]), pa.array(ids[x["row"]])], names=["gram", "doc_id"])
+                _, at, n = np.unique(_pair(x["row"], x["gram"]), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x["gram"][at]), pa.array(ids[x["row"][at]]), pa.array(np.minimum(n, 2))], names=["gram", "doc_id", "n"])
 
     return run
 
@@ -252,7 +210,7 @@ def _stretch_rows(length: int):
             first, later = _split_copies(*(np.concatenate(c) for c in zip(*found)))
             yield _stretches([np.ones(len(first[0])), *first])
             doc, tag, start, stop = _joined(*later[3:], length)
-            spread = _mix(doc.view(np.uint64) + start.astype(np.uint64) * _U(_BASE)).view(np.int64)
+            spread = mix(doc.view(np.uint64) + start.astype(np.uint64) * U(GOLDEN)).view(np.int64)
             zero = np.zeros(len(doc), dtype=np.int64)
             yield _stretches([zero, spread, zero, zero, doc, tag, start, stop - start - length + 1])
 
@@ -278,13 +236,13 @@ def _classify(length: int):
 
 def _pair(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """A row of the batch and a k-gram hash as one number; a clash only keeps an anchor that is unique."""
-    return _mix(gram.view(np.uint64) + row.astype(np.uint64) * _U(_BASE))
+    return mix(gram.view(np.uint64) + row.astype(np.uint64) * U(GOLDEN))
 
 
 def _bytes_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "doc_id", "tag", "start", "bytes"]
-        for batch in batches:
+        for batch in _slices(batches):
             texts = _unpacked(batch)
             tags = _tags(texts)
             rows: list[tuple] = []
@@ -371,13 +329,13 @@ def equal_windows(text: bytes, at: np.ndarray, group: np.ndarray, length: int) -
     n = len(buf) - 7
     symbol = np.zeros(n, dtype=np.uint64)
     for i in range(8):
-        symbol |= buf[i : n + i] << _U(56 - 8 * i)
+        symbol |= buf[i : n + i] << U(56 - 8 * i)
     order = np.argsort(group, kind="stable")
     part = group[order]
     for depth in range(0, min(_SHALLOW, length), 8):  # multikey, all groups of one depth at once
         key = symbol[at[order] + depth]
         if depth + 8 > length:
-            key &= _U(0xFFFFFFFFFFFFFFFF) << _U(8 * (depth + 8 - length))
+            key &= U(0xFFFFFFFFFFFFFFFF) << U(8 * (depth + 8 - length))
         o = np.lexsort((key, part))
         order, part, key = order[o], part[o], key[o]
         new = np.ones(len(o), dtype=bool)
@@ -411,7 +369,7 @@ def _window_digests(parts: list[bytes], length: int) -> np.ndarray:
         windows = sizes - length + 1
         first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows), windows)
         at = first + np.arange(windows.sum())
-        out.append(_Rolling(np.frombuffer(b"".join(p for _, _, p in pack), dtype=np.uint8), 0)(at, at + length))
+        out.append(Rolling(np.frombuffer(b"".join(p for _, _, p in pack), dtype=np.uint8), 0)(at, at + length))
     return np.concatenate(out)
 
 
@@ -436,7 +394,7 @@ def _sorted_repeats(length: int):
             windows = sizes - length + 1
             owner = np.repeat(np.arange(len(parts)), windows)
             inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            key = _mix(_window_digests(parts, length) + group[owner].astype(np.uint64) * _U(_BASE))
+            key = mix(_window_digests(parts, length) + group[owner].astype(np.uint64) * U(GOLDEN))
             by = np.argsort(key)
             twin = key[by[1:]] == key[by[:-1]]
             some = np.zeros(len(key), dtype=bool)
@@ -490,16 +448,16 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary").where("doc_id is not null")
 
 
-def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd: int = 256) -> DataFrame:
+def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd: int = 1 << 15) -> DataFrame:
     """(doc_id, tag, start, stop): byte ranges, overlapping ones included, whose union goes.
 
     docs has doc_id (integer, not null) and text; packed is packed_texts of them. crowd: an anchor with more
     different stretches than this is worked on by window digests, in many tasks.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = docs.mapInArrow(_gram_rows(length), "gram long, doc_id long")
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    grams = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    anchors = docs.mapInArrow(_gram_rows(length), "gram long, doc_id long, n long")
+    often = anchors.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    grams = anchors.select("gram", "doc_id").join(often, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
     found = packed.join(grams, "doc_id").select("doc_id", "packed", "grams").mapInArrow(_stretch_rows(length), _STRETCH)
     known = found.repartition(n, "h1", "h2").sortWithinPartitions("h1").mapInArrow(_classify(length), _STRETCH)
     place = F.struct("doc_id", "tag", "start")
@@ -523,7 +481,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _unpacked(batch)
         tags = _tags(texts)
         out: list[tuple] = []
@@ -544,7 +502,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[n for n, _ in keep] + names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 1 << 15) -> DataFrame:
     """Per row of docs(doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     kept_text is the remaining bytes as text; a character of which only some
