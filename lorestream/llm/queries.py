@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorestream.llm import embedding_dedup, jaccard_join, mixing, packing, quality_rules, suffix_dedup
+from lorestream.llm import embedding_dedup, factorization, jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,29 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: quality score of a factorisation machine that learned from two of three label folds."""
+    return factorization.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: toxicity score of a linear model that learned from four of five label folds."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens of the best unigram segmentation over the pieces of a public vocabulary."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: digest of its canonical text, the licence it is, and licence notices among its lines."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its component under Jaccard 0.85 or more on four-word shingles."""
     return jaccard_join.join_classes(_table(spark, sf_dir, "documents"))
@@ -53,7 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle_sql()}
