@@ -13,12 +13,16 @@ shared passages make no regions.
 
 Regions join recursively: regions with the same members are one; those with many
 members are split by the hash of the member into blocks, joined block by block.
-Within a region the size bound and a parity bitmap prune pairs: bitmaps differ
-in at most as many bits as shingle sets differ in elements. Candidates are then
-verified on whole sets, in two rounds so that a group of n near copies does not
-cost n^2 verifications: first each document's nearest candidate, then every
-candidate pair that the links found so far do not already connect. Documents with
-equal sets are one member throughout. Components come from `components`.
+A region of two members is dropped where their sizes differ too much, or where
+what follows this pivot in both is too little: if an earlier pivot is shared too,
+the pair meets there. Within a region the size bound and a parity bitmap prune
+pairs: bitmaps differ in at most as many bits as shingle sets differ in elements.
+Candidates are then verified on whole sets. Regions of a few members give all
+their pairs at once; the others take two rounds so that a group of n near copies
+does not cost n^2 verifications: first each document's nearest candidate, then
+every candidate pair that the links found so far do not already connect.
+Documents with equal sets are one member throughout. Components come from
+`components`.
 
 No cap drops anything: all documents, all shingles, all regions take part.
 
@@ -195,7 +199,9 @@ def _near(ids, sizes, bits, labels, percent: int, nearest: bool) -> Iterator[tup
                 yield ids[rows[i]], ids[others[j]]
 
 
-def _candidates(percent: int, nearest: bool):
+def _candidates(percent: int, nearest: bool, few: int = 0):
+    """Pairs of each region; in the round of the nearest, regions of at most `few` members give all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "region"):
             region, ids, sizes = (table.column(c).to_numpy() for c in ("region", "doc_id", "n_shingles"))
@@ -210,7 +216,7 @@ def _candidates(percent: int, nearest: bool):
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for k in np.flatnonzero(possible).tolist():
                 lo, hi = int(cuts[k]), int(cuts[k + 1])
-                found += _near(ids[lo:hi], sizes[lo:hi], bits.slice(lo, hi - lo).to_pylist(), None if labels is None else labels[lo:hi], percent, nearest)
+                found += _near(ids[lo:hi], sizes[lo:hi], bits.slice(lo, hi - lo).to_pylist(), None if labels is None else labels[lo:hi], percent, nearest and hi - lo > few)
             if found:
                 a, b = (np.concatenate(c) for c in zip(*found))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -250,14 +256,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(_linked(percent), "a long, b long")
 
 
-def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int = 64, listed: int = 1 << 16, block: int = 1024) -> DataFrame:
+def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int = 64, listed: int = 1 << 16, block: int = 1024, few: int = 8) -> DataFrame:
     """Per row of docs(doc_id, text): n_shingles, set_id and component_id.
 
     Two documents link when 100 * shared shingles >= percent * all their
     shingles; component_id is the smallest doc_id reachable by links, set_id the
     smallest doc_id with the same set. The `listed` most frequent shingles among
     those in `often` documents or more come last in the order of pivots. Regions
-    of more than `block` documents are joined block by block.
+    of more than `block` documents are joined block by block; those of at most
+    `few` need no second round.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -269,28 +276,33 @@ def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int
     rows = materialize(own.mapInArrow(_members(words, percent, frequent), _ROWS), "members")
     known = rows.where("n_shingles > 0 and doc_id is not null")
     sets_ = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("set_id"))
-    members = known.select("doc_id", "pivots").join(sets_.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    seats = members.select(F.explode("pivots").alias("pivot"), "doc_id")
-
-    regions = seats.groupBy("pivot").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("f1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("f2")).where("n > 1")
-    regions = regions.groupBy("n", "f1", "f2").agg(F.min("pivot").alias("pivot"))
+    members = known.select("doc_id", "n_shingles", "pivots").join(sets_.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    seats = members.select("doc_id", "n_shingles", F.posexplode("pivots").alias("nth", "pivot"))
+
+    size = F.col("n_shingles")
+    regions = seats.groupBy("pivot").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
+        F.min(size).alias("small"), F.max(size).alias("large"), F.min(size - F.col("nth")).alias("rest"),
+    )
+    possible = (100 * F.col("small") >= percent * F.col("large")) & ((100 + percent) * F.col("rest") >= percent * (F.col("small") + F.col("large")))
+    regions = regions.where((F.col("n") > 2) | (F.col("n") == 2) & possible).groupBy("n", "lo", "hi", "mark").agg(F.min("pivot").alias("pivot"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = seats.join(regions.select("pivot", blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
+    placed = seats.select("pivot", "doc_id").join(regions.select("pivot", "n", blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "doc_id", F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("region")
+        "doc_id", F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), (F.col("n") > few).alias("many")
     )
-    seated = materialize(placed.join(known.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"]), "doc_id").select("region", "doc_id", "n_shingles", "bits"), "seats")
+    seated = materialize(placed.join(known.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"]), "doc_id").select("region", "doc_id", "many", "n_shingles", "bits"), "seats")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arranged = lambda df: df.repartition(parts, "region").sortWithinPartitions("region")
-    first = materialize(arranged(seated).mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "candidates")
+    first = materialize(arranged(seated.drop("many")).mapInArrow(_candidates(percent, True, few), "a long, b long").distinct(), "candidates")
     wanted = materialize(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "wanted")
     if wanted.count() <= _MAP_SMALL:
         wanted = F.broadcast(wanted)
     sets = materialize(own.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id long, shingles binary"), "sets")
     links = materialize(_verified(first, sets, percent), "links")
     label = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    labelled = seated.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = seated.where("many").drop("many").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     second = arranged(labelled).mapInArrow(_candidates(percent, False), "a long, b long").distinct()
     links = materialize(links.union(_verified(second, sets, percent)), "links")
 
