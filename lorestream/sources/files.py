@@ -44,7 +44,7 @@ def html_lines(html: Column) -> Column:
     bare = F.regexp_replace(bare, r"<[^>]*>", "\n")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(sign))
-    return F.filter(F.transform(F.split(bare, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def csv_lines(spark: SparkSession, path: str, lines: int = 50) -> DataFrame:
