@@ -59,7 +59,8 @@ _SCORED = f"""select doc_id, text, {_QUALITY} as q from (select *, length(regexp
   when length(trim(coalesce(text, ''), ' ')) < 200 then 'too_short' when q < 0.4 then 'low_quality' else 'accepted' end as reason from ({_SCORED})""")
 def text_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document and the verdict of the ingest gate."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.round(T.quality_score(F.col("text")), 6).alias("quality"), T.gate_reason(F.col("text")).alias("reason"))
+    scored = _read(spark, sf_dir, "documents").select("doc_id", "text", T.quality_score(F.col("text")).alias("q"))
+    return scored.select("doc_id", F.round("q", 6).alias("quality"), T.gate_reason(F.col("text"), F.col("q")).alias("reason"))
 
 
 @_query(f"""select case when len(list_filter([{_in(T.ENGLISH)}], lambda e: list_contains(regexp_extract_all(lower(text), '\\S+')[1:200], e))) >= 5
