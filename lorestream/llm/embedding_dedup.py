@@ -2,19 +2,20 @@
 
 Vectors compare only within one label (and dimension). Equal vectors become one
 class first. In each tree a node projects its vectors on a random direction and
-splits at the median of a bounded sample; vectors within `spill` of the split go
-to both sides. Linked unit vectors are at most sqrt(2 - 2 * cosine) apart, so
-their projections rarely differ by more than both spills together; several trees
-with independent directions leave no practical chance of a miss. Trees grow in
-rounds of a few levels until leaves are small; each round fits all its subtrees
-on samples of at most `sample` rows a node and then places every row.
+splits where a bounded sample says that the two sides, spill included, leave
+least to compare; vectors within `spill` of the split go to both sides. Linked
+unit vectors are at most sqrt(2 - 2 * cosine) apart, so their projections rarely
+differ by more than both spills together; several trees with independent
+directions leave little chance of a miss. Trees grow in rounds of a few levels
+until leaves are small; each round fits all its subtrees on samples of at most
+`sample` rows a node and then places every row. A node that no split makes
+cheaper, as when very many vectors are nearly the same, stays a leaf.
 
 Within leaves all pairs are compared by cosine in double precision. A pair that
 meets in several leaves counts in the first of them only, which each row can
 tell from its own list of leaves, so exact link counts need no list of pairs,
-and a leaf hands on no more edges than rows. Leaves that stay large, as when
-very many vectors are nearly the same, are compared in blocks by many tasks.
-`components` unites the edges.
+and a leaf hands on no more edges than rows. Leaves that stay large are compared
+in blocks by many tasks. `components` unites the edges.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components,
 and rows with a null label, link with nothing (component = own id, kept); rows
@@ -44,20 +45,35 @@ def direction(seed: int, tree: int, path: str, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def grow(x: np.ndarray, seed: int, tree: int, path: str, levels: int) -> dict[str, float]:
-    """Split points of a subtree fitted on the sample x: inner paths to medians."""
+def best_cut(p: np.ndarray, spill: float, gain: float = 0.75) -> float | None:
+    """Where to cut projections p so that both sides, spill included, have fewest pairs; None if over `gain` of all stay."""
+    p = np.sort(p)
+    left = np.searchsorted(p, p + spill, "right") / len(p)
+    right = 1 - np.searchsorted(p, p - spill, "right") / len(p)
+    pairs = left**2 + right**2
+    at = int(np.argmin(pairs))
+    return float(p[at]) if pairs[at] <= gain else None
+
+
+def grow(x: np.ndarray, seed: int, tree: int, path: str, levels: int, spill: float, fewest: int = 32) -> tuple[dict[str, float], list[str]]:
+    """A subtree fitted on the sample x: inner paths to cuts, and paths that no cut makes cheaper."""
     splits: dict[str, float] = {}
+    stuck: list[str] = []
 
     def split(rows: np.ndarray, at: str, depth: int) -> None:
-        if depth == levels or len(rows) < 2:
+        if depth == levels or depth and len(rows) < fewest:
             return
         p = rows @ direction(seed, tree, at, x.shape[1])
-        splits[at] = cut = float(np.median(p))
-        split(rows[p <= cut], at + "0", depth + 1)
-        split(rows[p > cut], at + "1", depth + 1)
+        cut = best_cut(p, spill)
+        if cut is None:
+            stuck.append(at)
+            return
+        splits[at] = cut
+        split(rows[p <= cut + spill], at + "0", depth + 1)
+        split(rows[p > cut - spill], at + "1", depth + 1)
 
     split(x, path, 0)
-    return splits
+    return splits, stuck
 
 
 def descend(x: np.ndarray, splits: dict[str, float], seed: int, tree: int, path: str, spill: float) -> Iterator[tuple[str, np.ndarray]]:
@@ -79,130 +95,127 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(seed: int, levels: int):
+def _fit(seed: int, levels: int, spill: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows.iloc[0]
         x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         order = np.lexsort(x.T)
-        splits = grow(x[order], seed, int(node.tree), node.path, levels)
-        return pd.DataFrame({"tree": [node.tree], "label": [node.label], "dim": [node.dim], "path": [node.path], "inner": [list(splits)], "cuts": [list(splits.values())]})
+        splits, stuck = grow(x[order], seed, int(node.tree), node.path, levels, spill)
+        one = {"tree": node.tree, "label": node.label, "dim": node.dim, "path": node.path, "inner": list(splits), "cuts": list(splits.values()), "ends": stuck}
+        return pd.DataFrame([one])
 
     return run
 
 
 def _place(seed: int, spill: float):
-    names = ["tree", "label", "dim", "path", "vec_id", "weight", "vector"]
+    names = ["tree", "label", "dim", "path", "stuck", "vec_id", "weight", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.select(["tree", "label", "dim", "path"]).to_pandas()
             for (tree, label, dim, path), index in frame.groupby(["tree", "label", "dim", "path"]).indices.items():
                 one = batch.take(pa.array(index))
-                splits = dict(zip(one.column("inner")[0].as_py() or [], one.column("cuts")[0].as_py() or []))
-                for leaf, rows in descend(_matrix(one.column("vector")), splits, seed, tree, path, spill):
+                inner, cuts, ends = (one.column(c)[0].as_py() or [] for c in ("inner", "cuts", "ends"))
+                for leaf, rows in descend(_matrix(one.column("vector")), dict(zip(inner, cuts)), seed, tree, path, spill):
                     if len(rows):
                         out = one.take(pa.array(rows))
-                        cols = [out.column(n) for n in names]
-                        cols[3] = pa.array([leaf] * len(rows))
-                        yield pa.RecordBatch.from_arrays(cols, names=names)
+                        new = {"path": pa.array([leaf] * len(rows)), "stuck": pa.array([leaf in ends] * len(rows))}
+                        yield pa.RecordBatch.from_arrays([new.get(n, out.column(n)) for n in names], names=names)
 
     return run
 
 
 def forest(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int, levels: int, seed: int, rounds: int) -> DataFrame:
     """(tree, label, dim, path, vec_id, weight, vector): the leaves each class is in."""
-    schema = f"{_NODE}, vec_id long, weight long, vector array<float>"
+    schema = f"{_NODE}, stuck boolean, vec_id long, weight long, vector array<float>"
     node = ["tree", "label", "dim", "path"]
-    now = classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).withColumn("path", F.lit("")).select(*node, "vec_id", "weight", "vector")
+    every = F.explode(F.array(*[F.lit(t) for t in range(trees)]))
+    now = classes.withColumn("tree", every).withColumn("path", F.lit("")).withColumn("stuck", F.lit(False)).select(*node, "stuck", "vec_id", "weight", "vector")
     done = None
-    before = None
     for _ in range(rounds):
-        counts = now.groupBy(*node).agg(F.count("*").alias("rows"))
-        if before is not None:  # a node that hardly shrank holds nearly equal vectors: blocks are for those
-            counts = counts.withColumn("parent", F.expr(f"substring(path, 1, length(path) - {levels})")).join(
-                before.select("tree", "label", "dim", F.col("path").alias("parent"), F.col("rows").alias("had")), ["tree", "label", "dim", "parent"], "left"
-            )
-            grown = (F.col("rows") > leaf) & (F.col("had").isNotNull()) & (F.col("rows") < 0.7 * F.col("had"))
-        else:
-            grown = F.col("rows") > leaf
-        counts = materialize(counts.select(*node, "rows", F.coalesce(grown, F.lit(False)).alias("split")), "nodes")
+        counts = now.groupBy(*node).agg(F.count("*").alias("rows"), F.bool_or("stuck").alias("end"))
+        counts = materialize(counts.select(*node, "rows", ((F.col("rows") > leaf) & ~F.col("end")).alias("split")), "nodes")
         sized = now.join(counts, node)
-        leaves = sized.where("not split").drop("rows", "split")
+        leaves = sized.where("not split").select(*node, "vec_id", "weight", "vector")
         done = leaves if done is None else done.unionByName(leaves)
         if not counts.where("split").limit(1).count():
             break
         large = sized.where("split")
         lot = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(sample / 2) / F.col("rows"))
-        fitted = large.where(lot).select(*node, "vector").groupBy(*node).applyInPandas(_fit(seed, levels), f"{_NODE}, inner array<string>, cuts array<double>")
+        fitted = large.where(lot).select(*node, "vector").groupBy(*node).applyInPandas(_fit(seed, levels, spill), f"{_NODE}, inner array<string>, cuts array<double>, ends array<string>")
         now = materialize(large.drop("rows", "split").join(materialize(fitted, "splits"), node, "left").mapInArrow(_place(seed, spill), schema), "placed")
-        before = counts
     else:
-        done = done.unionByName(now)
+        done = done.unionByName(now.drop("stuck"))
     return materialize(done, "leaves")
 
 
 _FOUND = "vec_id long, links long, other long"
 
 
+def _met_before(homes: pa.Array, here: int) -> np.ndarray:
+    """A row for each row of a leaf: which of the leaves before this one, of those that several rows share, it is in."""
+    rows = np.repeat(np.arange(len(homes)), homes.value_lengths().to_numpy())
+    ids = homes.flatten().to_numpy()
+    rows, ids = rows[ids < here], ids[ids < here]
+    _, code, times = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    keep = place[code] >= 0
+    out = np.zeros((len(homes), len(shared)), dtype=np.float32)
+    out[rows[keep], place[code[keep]]] = 1
+    return out
+
+
+def _links(x: np.ndarray, weight: np.ndarray, side: np.ndarray, before: np.ndarray, least: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x: the weight it links with for the first time here, and the smallest row of its component."""
+    n = len(x)
+    links, root = np.zeros(n, dtype=np.int64), np.arange(n)
+    two = side.min() != side.max()
+    for at in range(0, n, step):
+        rows = np.arange(at, min(at + step, n))
+        cosine = x[rows] @ x[at:].T
+        linked = cosine >= least
+        i, j = np.nonzero(np.abs(cosine - least) < 1e-9)
+        linked[i, j] = (x[at + i] * x[at + j]).sum(axis=1) >= least
+        linked &= np.arange(at, n) > rows[:, None]
+        if two:
+            linked &= side[rows][:, None] != side[at:]
+        if before.shape[1] and linked.any():
+            linked &= before[rows] @ before[at:].T == 0
+        links[rows] += linked @ weight[at:]
+        links[at:] += weight[rows] @ linked
+        i, j = np.nonzero(linked)
+        if len(i):
+            known = np.flatnonzero(root != np.arange(n))
+            names, roots = find_roots(np.concatenate([at + i, known]), np.concatenate([at + j, root[known]]))
+            root[names] = roots
+    return links, root
+
+
 def _compare(least: float):
-    """Per row of a leaf (or pair of blocks): vectors it links with first here, and the least of those."""
+    """Per row of a leaf (or pair of blocks): vectors it links with first here, and the least it reaches by those links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "leaf"):
             leaves = table.column("leaf").to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])), len(leaves))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                part = table.slice(lo, hi - lo)
-                ids = part.column("vec_id").to_numpy()
-                _, first = np.unique(ids, return_index=True)
-                if len(first) < 2:
+                if hi - lo < 2:
                     continue
-                part = part.take(pa.array(first))
+                part = table.slice(lo, hi - lo).combine_chunks().sort_by("vec_id")
                 ids, weight, side = (part.column(c).to_numpy() for c in ("vec_id", "weight", "side"))
-                x = _matrix(part.column("vector"))
-                homes = part.column("homes").to_pylist()
-                links, edges = np.zeros(len(ids), dtype=np.int64), []
-                here = int(leaves[lo])
-                for at in range(0, len(ids), 1024):
-                    c = x[at : at + 1024] @ x.T
-                    i, j = np.nonzero(c >= least - 1e-9)
-                    i += at
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                    if side.min() != side.max():
-                        keep = side[i] != side[j]
-                        i, j = i[keep], j[keep]
-                    exact = (x[i] * x[j]).sum(axis=1) >= least
-                    i, j = i[exact], j[exact]
-                    first_here = np.fromiter((_first(homes[a], homes[b]) == part_home for a, b, part_home in zip(i.tolist(), j.tolist(), (_home(part, k) for k in i.tolist()))), dtype=bool, count=len(i))
-                    i, j = i[first_here], j[first_here]
-                    np.add.at(links, i, weight[j])
-                    np.add.at(links, j, weight[i])
-                    edges.append((i, j))
-                i, j = (np.concatenate(c) for c in zip(*edges))
-                root = ids.copy()
-                if len(i):
-                    names, roots = find_roots(ids[i], ids[j])
-                    root[np.searchsorted(ids, names)] = roots
+                before = _met_before(part.column("homes").combine_chunks(), part.column("home")[0].as_py())
+                links, root = _links(_matrix(part.column("vector")), weight, side, before, least)
                 some = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], names=["vec_id", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], names=["vec_id", "links", "other"])
 
     return run
 
 
-def _home(part: pa.Table, k: int) -> int:
-    return part.column("home")[k].as_py()
-
-
-def _first(a: list[int], b: list[int]) -> int | None:
-    """The smallest leaf of both rising lists."""
-    both = set(a).intersection(b)
-    return min(both) if both else None
-
-
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.98, trees: int = 3, leaf: int = 512, spill: float = 0.03, sample: int = 4096, levels: int = 4, seed: int = 5, rounds: int = 24, block: int = 4096
+    vectors: DataFrame, least: float = 0.98, trees: int = 4, leaf: int = 512, spill: float = 0.015, sample: int = 4096, levels: int = 4, seed: int = 5, rounds: int = 24, block: int = 4096
 ) -> DataFrame:
     """Per row of vectors(vec_id, embedding, label): n_links, component_id, kept."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"), F.col("label").cast("int").alias("label"))
