@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 
@@ -60,3 +61,46 @@ def test_ratios_of_chunks():
     raw = prose(3000).encode()
     sizes = [n for n, _ in Q.ratios(raw, squeeze)]
     assert sizes[0] == len(raw) and sizes[1:] == [Q.CHUNK] * (len(raw) // Q.CHUNK)
+
+
+def cut_into_words(kind, n, rng):
+    raw = {"base64": lambda: base64.b64encode(rng.randbytes(n)).decode(), "hex": lambda: rng.randbytes(n).hex(), "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))}[kind]()
+    out = []
+    while sum(map(len, out)) < n:
+        at = sum(map(len, out))
+        out.append(raw[at : at + rng.randint(2, 9)])
+    return " ".join(out)[:n].encode()
+
+
+@pytest.mark.parametrize("kind, least", [("base64", 256), ("letters", 1024), ("hex", 2896)])
+def test_incompressible_text_of_each_class_is_outside(kind, least):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(4)
+    for n in [b[0] for b in Q.BANDS if least <= b[0] <= 32768]:
+        assert not Q.verdict(cut_into_words(kind, n + n // 10, rng), squeeze)[0], n
+
+
+def test_looped_text_of_each_class_is_outside():
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for n, _, _ in Q.BANDS[3:]:
+        raw = prose(12).encode() + b" "
+        assert not Q.verdict((raw * (n // len(raw) + 2))[: n + n // 10], squeeze)[0], n
+
+
+def test_tail_counts(monkeypatch):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(5)
+    looped = (prose(12).encode() + b" ") * 80
+    monkeypatch.setattr(Q, "band", lambda n, of=Q.band: of(n) if n <= Q.CHUNK else (0.0, 1e9))
+    good, junk = prose(800).encode()[: Q.CHUNK], cut_into_words("letters", 3900, rng)
+    assert Q.verdict(good + good[:3900], squeeze)[0]
+    assert Q.verdict(good + good + junk, squeeze)[0]
+    assert not Q.verdict(good + looped[: Q.CHUNK] + junk, squeeze)[0]
+
+
+def test_labelled_good_stays_and_some_bad_goes(spark):
+    for at in ("/root/testdata/sf0.001/", "/root/testdata/sf0.01/", "/root/testdata/sf0.1/"):
+        docs = spark.read.parquet(at + "documents.parquet").join(spark.read.parquet(at + "labels.parquet"), "doc_id")
+        kept = {(r.quality, r.kept): r["count"] for r in Q.with_quality(docs).where("not base_failed").groupBy("quality", "kept").count().collect()}
+        assert (1, False) not in kept
+    assert kept[0, False] > 40
