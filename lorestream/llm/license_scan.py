@@ -18,6 +18,8 @@ are kept and have no line matches; other columns are ignored.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,62 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+# Titles that stand above the short texts, and the longer texts in the folder licences
+# as (licence, lines of title, line after which or from which an annex follows).
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "This software is released under the MIT license:"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "The BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("The zlib License",),
+}
+_FILES = (
+    ("Apache-2.0", 3, "END OF TERMS AND CONDITIONS"),
+    ("Artistic-1.0-Perl", 1, None),
+    ("BSL-1.0", 1, None),
+    ("CC0-1.0", 2, None),
+    ("GFDL-1.2", 2, "ADDENDUM: How to use"),
+    ("GFDL-1.3", 2, "ADDENDUM: How to use"),
+    ("GPL-1.0", 2, "END OF TERMS AND CONDITIONS"),
+    ("GPL-2.0", 2, "END OF TERMS AND CONDITIONS"),
+    ("GPL-3.0", 2, "END OF TERMS AND CONDITIONS"),
+    ("LGPL-2.0", 2, "END OF TERMS AND CONDITIONS"),
+    ("LGPL-2.1", 2, "END OF TERMS AND CONDITIONS"),
+    ("LGPL-3.0", 2, None),
+    ("MPL-1.1", 2, "EXHIBIT A -"),
+    ("MPL-2.0", 1, "Exhibit A - Source"),
+    ("Unicode-3.0", 1, None),
+    ("Unlicense", 0, None),
+    ("Zlib", 1, None),
+)
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The forms of whole licence texts: with and without title, clause numbers, annex and the address below the title."""
+    bodies = list(KNOWN[:5])
+    bodies += [(licence, text.replace("1. Redis", "Redis").replace("2. Redis", "Redis").replace("3. Neither", "Neither")) for licence, text in KNOWN[3:5]]
+    out = []
+    for licence, titles, annex in _FILES:
+        text = resources.files(__package__).joinpath("licences", f"{licence}.txt").read_text(encoding="utf-8")
+        lines = [line for line in text.split("\n") if line.strip()]
+        ends = [lines, [line for line in lines if not line.strip().startswith("Copyright [yyyy]")]]
+        if annex:
+            at = next(i for i, line in enumerate(lines) if line.strip().startswith(annex))
+            ends += [lines[:at], lines[: at + 1]] if annex.startswith("END") else [lines[:at]]
+        for some in ends:
+            for form in (some, [line for i, line in enumerate(some) if i > 4 or "Franklin St" not in line]):
+                out.append((licence, "\n".join(form)))
+                bodies.append((licence, "\n".join(form[titles:])))
+    bodies += [(licence, text.replace("/licenses/why-not-lgpl", "/philosophy/why-not-lgpl")) for licence, text in bodies if licence == "GPL-3.0"]
+    out += [(licence, text.replace("/licenses/why-not-lgpl", "/philosophy/why-not-lgpl")) for licence, text in out if licence == "GPL-3.0"]
+    out += bodies + [(licence, f"{title}\n\n{text}") for licence, text in bodies for title in _TITLES.get(licence, ())]
+    return list(dict.fromkeys(out))
+
+
+KNOWN += tuple(row for row in _whole_texts() if row not in KNOWN)
+
 _COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright \(c\)|copyright ©|©|\(c\) *[12][0-9][0-9][0-9]|copyright *[12][0-9][0-9][0-9]|all rights reserved)[^\n]*$"
 _OTHER = r"[^\p{L}\p{N}]+"
 

@@ -1,3 +1,5 @@
+from importlib import resources
+
 import duckdb
 import pyarrow as pa
 from lorestream.llm import license_scan as L
@@ -40,3 +42,28 @@ def test_oracle(spark):
     want = sorted(con.sql(L.oracle_sql()).fetchall())
     got = sorted(tuple(r) for r in L.scan(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert got == want
+
+
+def test_whole_texts_with_and_without_title(spark):
+    mit, bsd = L.KNOWN[0][1], L.KNOWN[4][1]
+    read = lambda name: (resources.files("lorestream.llm") / "licences" / f"{name}.txt").read_text()
+    apache, gpl = read("Apache-2.0"), read("GPL-3.0")
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + mit),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("Apache-2.0", apache),
+        ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Someone")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        ("Apache-2.0", apache[apache.index("TERMS AND") :]),
+        ("GPL-3.0", gpl[gpl.index("Everyone") : gpl.index("How to Apply These Terms to")]),
+        (None, apache.replace("perpetual", "temporary")),
+    ]
+    names = ["CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl", "Unlicense", "BSL-1.0", "Zlib", "Unicode-3.0"]
+    texts += [(name, read(name)) for name in names]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in L.scan(df).collect()} == {i: name for i, (name, _) in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": [t for _, t in texts]}))
+    assert sorted(con.sql(L.oracle_sql()).fetchall()) == sorted(tuple(r) for r in L.scan(df).collect())
