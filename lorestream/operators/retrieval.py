@@ -54,9 +54,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5, b: f
     return top_k(scored, k)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int = 50, least: float | None = None, block: int = 256) -> DataFrame:
+def dense(queries: DataFrame, corpus: DataFrame, k: int = 50, least: float | None = None, block: int = 256, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine of queries(query_id, vector) and corpus(doc_id, vector).
 
+    With `digits`, scores are rounded before any selection, so equal rounded scores go by doc_id.
+
     Queries are packed into blocks of about `block` vectors; each block meets each
     Arrow batch of the corpus once, as one matrix product that hands on k rows a query.
     """
@@ -78,6 +80,8 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = 50, least: float | Non
                 ids = np.array([r["doc_id"] for r in have])
                 norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
                 score = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
+                if digits is not None:
+                    score = np.round(score, digits)
                 for i, r in enumerate(asked):
                     best = np.lexsort((ids, -score[i]))[:k]
                     out.append(pd.DataFrame({"query_id": r["query_id"], "doc_id": ids[best], "score": score[i][best]}))

@@ -252,8 +252,7 @@ def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each hundredth vector the ten nearest by cosine, 0.1 at least."""
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     queries = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    near = retrieval.dense(queries, rows, k=20).withColumn("score", F.round("score", 6)).drop("rank")
-    return retrieval.top_k(near, 10).where("score >= 0.1").withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.dense(queries, rows, k=10, digits=6).where("score >= 0.1").withColumn("rank", F.col("rank").cast("long"))
 
 
 _LISTS = f"""{_BM25}, early as (select query_id, doc_id, score, row_number() over (partition by query_id order by doc_id desc) as rank from best where rank <= 12),

@@ -47,3 +47,15 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
 def test_others_run(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_dense_ties_beyond_the_candidates(spark, tmp_path):
+    far = [[1.0, 1e-4 * (50 - i) / 50] + [0.0] * 62 if i else [1.0] + [0.0] * 63 for i in range(50)]
+    spark.createDataFrame(list(enumerate(far)), "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = Q.QUERIES["dense_topk_cosine"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(10))
+    want = con.execute(Q.ORACLE_SQL["dense_topk_cosine"])
+    names = [d[0] for d in want.description]
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
