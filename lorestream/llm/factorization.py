@@ -10,8 +10,8 @@ least hash), in one task; scoring reads every whole text once, where it lies.
 The model has a fixed size and is broadcast.
 
 Edge cases: null and empty texts score from their statistics alone; null labels
-are not learned from, repeated labels of a document count once (the greater);
-without labels all scores are 0.5; repeated rows give repeated results; null
+are not learned from, repeated labels of a document count once (the greater); of several
+texts under one labelled doc_id the least is learned from; without labels all scores are 0.5; repeated rows give repeated results; null
 doc_ids are scored and never held out; other columns are ignored.
 """
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorestream.llm.common import byte_slices
 from lorestream.llm.rolling import Rolling, U
 
 WORDS = 1 << 15
@@ -182,7 +183,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
 
 
 def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_slices(batches):
         x = inputs(*_texts(batch))
         cuts = pa.array(x.cuts.astype(np.int32))
         lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in (x.index, x.value)]
@@ -202,7 +203,7 @@ def _trained(how: dict):
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8192, rank: int = 8, **how) -> Machine:
     """A machine learned from labels(doc_id, y 0/1, not null) of at most train_rows documents."""
     chosen = labels.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text", "n_chars")
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("text", "n_chars")).alias("least")).select("doc_id", "y", "least.*")
     rows = sample.mapInArrow(_input_rows, "doc_id long, y int, index array<int>, value array<float>")
     found = rows.groupBy(F.lit(0).alias("one")).applyInPandas(_trained({"rank": rank, **how}), "w binary, v binary").collect()
     if not found:
@@ -212,11 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 8192, rank: int =
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                score = model.value.score(inputs(*_texts(batch)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        for part in byte_slices(batches):
+            score = model.value.score(inputs(*_texts(part)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return run
 

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes removed because a 100-byte string over them also starts earlier."""
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

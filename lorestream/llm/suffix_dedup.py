@@ -35,16 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lorestream.llm.common import whole_groups
+from lorestream.llm.common import byte_slices, text_bytes, whole_groups
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAM = 28
 _SEGMENT = 1 << 18
 _SHALLOW = 32
+#: What a task works on at once: compressed bytes of text, stretches, windows and rows of a batch it hands on.
+_PACKED, _HELD, _WINDOWS, _ROWS = 1 << 18, 1 << 18, 1 << 18, 1 << 16
 
 
 def _segments(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -115,22 +119,13 @@ def _anchors(texts: list[bytes], length: int, digests: bool) -> Iterator[dict[st
         yield out
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstandard frames, for the one shuffle that carries them."""
+    """Texts as zstandard frames, for the shuffles that carry them."""
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = pa.array([squeeze.compress(t) for t in _texts(batch)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["doc_id", "packed"])
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    for part in byte_slices(batches):
+        packed = pa.array([squeeze.compress(t) for t in text_bytes(part)], pa.binary())
+        own = [(n, part.column(n)) for n in part.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([c for _, c in own] + [packed], names=[n for n, _ in own] + ["packed"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
@@ -138,17 +133,13 @@ def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [open_up.decompress(x) for x in batch.column("packed").to_pylist()]
 
 
-def _tags(texts: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in texts], dtype=np.int64)
-
-
 def _gram_rows(length: int):
     """Anchors of each document; n is 2 for those it has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             ids = batch.column("doc_id").to_numpy()
-            for x in _anchors(_texts(batch), length, False):
+            for x in _anchors(text_bytes(batch), length, False):
                 _, at, n = np.unique(_pair(x["row"], x["gram"]), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x["gram"][at]), pa.array(ids[x["row"][at]]), pa.array(np.minimum(n, 2))], names=["gram", "doc_id", "n"])
 
@@ -188,13 +179,28 @@ def _joined(doc, tag, start, windows, length) -> tuple[np.ndarray, ...]:
 
 
 def _stretch_rows(length: int):
-    """Stretches on repeated anchors. Copies that one batch can see itself leave as kind 0, dealt by
-    their own place, so that a digest has at most one row of kind 1 from each batch."""
+    """Stretches on repeated anchors. Copies that one block of a task can see itself leave as kind 0, dealt by
+    their own place, so that a digest has at most one row of kind 1 from each block."""
+
+    def block(held: list[list[np.ndarray]], copies: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        first, later = _split_copies(*(np.concatenate(c) for c in zip(*held)))
+        for at in range(0, len(first[0]), _ROWS):
+            part = [c[at : at + _ROWS] for c in first]
+            yield _stretches([np.ones(len(part[0])), *part])
+        doc, tag, start, stop = _joined(*(np.concatenate(c) for c in zip(*copies, tuple(later[3:]))), length)
+        for at in range(0, len(doc), _ROWS):
+            d, t, lo, hi = (c[at : at + _ROWS] for c in (doc, tag, start, stop))
+            spread = mix(d.view(np.uint64) + lo.astype(np.uint64) * U(GOLDEN)).view(np.int64)
+            zero = np.zeros(len(d), dtype=np.int64)
+            yield _stretches([zero, spread, zero, zero, d, t, lo, hi - lo - length + 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = _unpacked(batch), batch.column("doc_id").to_numpy()
-            tags = _tags(texts)
+        held: list[list[np.ndarray]] = []
+        copies: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in byte_slices(batches, "packed", _PACKED):
+            texts = _unpacked(batch)
+            ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
             lists = batch.column("grams")
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
@@ -208,11 +214,14 @@ def _stretch_rows(length: int):
             if not found:
                 continue
             first, later = _split_copies(*(np.concatenate(c) for c in zip(*found)))
-            yield _stretches([np.ones(len(first[0])), *first])
-            doc, tag, start, stop = _joined(*later[3:], length)
-            spread = mix(doc.view(np.uint64) + start.astype(np.uint64) * U(GOLDEN)).view(np.int64)
-            zero = np.zeros(len(doc), dtype=np.int64)
-            yield _stretches([zero, spread, zero, zero, doc, tag, start, stop - start - length + 1])
+            held.append(first)
+            copies.append(tuple(later[3:]))
+            size += len(first[0])
+            if size > _HELD:
+                yield from block(held, copies)
+                held, copies, size = [], [], 0
+        if held:
+            yield from block(held, copies)
 
     return run
 
@@ -242,9 +251,8 @@ def _pair(row: np.ndarray, gram: np.ndarray) -> np.ndarray:
 def _bytes_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "doc_id", "tag", "start", "bytes"]
-        for batch in _slices(batches):
-            texts = _unpacked(batch)
-            tags = _tags(texts)
+        for batch in byte_slices(batches, "packed", _PACKED):
+            texts, tags = _unpacked(batch), batch.column("tag").to_pylist()
             rows: list[tuple] = []
             size = 0
             for i, parts in enumerate(batch.column("parts").to_pylist()):
@@ -373,6 +381,21 @@ def _window_digests(parts: list[bytes], length: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _by_windows(tables: Iterator[pa.Table], length: int) -> Iterator[pa.Table]:
+    """Parts of tables sorted by gram, of whole grams, with at most _WINDOWS windows or one gram."""
+    for table in tables:
+        grams = table.column("gram").to_numpy()
+        ends = np.cumsum(pc.binary_length(table.column("bytes")).to_numpy().astype(np.int64) - length + 1)
+        cuts = np.append(np.flatnonzero(grams[1:] != grams[:-1]) + 1, len(grams))
+        at = 0
+        while at < len(grams):
+            before = ends[at - 1] if at else 0
+            whole = cuts[cuts > at]
+            to = int(whole[max(0, np.searchsorted(ends[whole - 1], before + _WINDOWS, side="right") - 1)])
+            yield table.slice(at, to - at)
+            at = to
+
+
 def _sorted_repeats(length: int):
     """Repeated windows among stretches that share an anchor, from batches sorted by it.
 
@@ -380,7 +403,7 @@ def _sorted_repeats(length: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gram"):
+        for table in _by_windows(whole_groups(batches, "gram"), length):
             grams, ids, tags, begin = (table.column(c).to_numpy() for c in ("gram", "doc_id", "tag", "start"))
             o = np.lexsort((begin, tags, ids, grams))
             new = np.ones(len(o), dtype=bool)
@@ -444,21 +467,23 @@ def _window_rows(length: int):
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """docs with a doc_id as (doc_id, packed)."""
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary").where("doc_id is not null")
+    """docs(doc_id, text, ...) with packed and tag, a hash of the text, in place of text."""
+    own = docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    schema = StructType([f for f in own.schema.fields if f.name != "text"]).add("packed", "binary")
+    return own.mapInArrow(_pack, schema)
 
 
 def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd: int = 1 << 15) -> DataFrame:
     """(doc_id, tag, start, stop): byte ranges, overlapping ones included, whose union goes.
 
-    docs has doc_id (integer, not null) and text; packed is packed_texts of them. crowd: an anchor with more
+    docs has doc_id (integer, not null) and text; packed has doc_id, tag and packed of packed_texts. crowd: an anchor with more
     different stretches than this is worked on by window digests, in many tasks.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = docs.mapInArrow(_gram_rows(length), "gram long, doc_id long, n long")
     often = anchors.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     grams = anchors.select("gram", "doc_id").join(often, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    found = packed.join(grams, "doc_id").select("doc_id", "packed", "grams").mapInArrow(_stretch_rows(length), _STRETCH)
+    found = packed.join(grams, "doc_id").select("doc_id", "tag", "packed", "grams").mapInArrow(_stretch_rows(length), _STRETCH)
     known = found.repartition(n, "h1", "h2").sortWithinPartitions("h1").mapInArrow(_classify(length), _STRETCH)
     place = F.struct("doc_id", "tag", "start")
     copies = known.where("kind = 0").select("doc_id", "tag", "start", (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("stop"))
@@ -471,7 +496,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd
         .agg(F.collect_list("part").alias("parts"))
     )
     schema = "gram long, doc_id long, tag long, start int, bytes binary"
-    few, many = (packed.join(parts.where(F.col("hot") == h), "doc_id").select("doc_id", "packed", "parts").mapInArrow(_bytes_rows(length), schema) for h in (0, 1))
+    few, many = (packed.join(parts.where(F.col("hot") == h), "doc_id").select("doc_id", "tag", "packed", "parts").mapInArrow(_bytes_rows(length), schema) for h in (0, 1))
     span = "doc_id long, tag long, start int, stop int"
     by_sort = few.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_repeats(length), span)
     windows = many.mapInArrow(_window_rows(length), "digest binary, doc_id long, tag long, start int")
@@ -480,12 +505,13 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, crowd
     return copies.unionByName(by_sort).unionByName(by_digest)
 
 
+_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        texts = _unpacked(batch)
-        tags = _tags(texts)
+    for batch in byte_slices(batches, "packed", _PACKED):
         out: list[tuple] = []
-        for text, tag, ranges in zip(texts, tags, batch.column("ranges").to_pylist()):
+        for text, tag, ranges in zip(_unpacked(batch), batch.column("tag").to_pylist(), batch.column("ranges").to_pylist()):
             kept, at, spans, stop = [], 0, 0, -1
             for r in sorted((r["start"], r["stop"]) for r in ranges or () if r["tag"] == tag):
                 if r[0] > stop:
@@ -497,22 +523,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
         cols = list(zip(*out)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        keep = [(n, batch.column(n)) for n in batch.schema.names if n not in ("packed", "ranges")]
+        names = [x.split()[0] for x in _RESULT.split(", ")]
+        keep = [(n, batch.column(n)) for n in batch.schema.names if n not in ("tag", "packed", "ranges")]
         yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[n for n, _ in keep] + names)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 1 << 15) -> DataFrame:
-    """Per row of docs(doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+    """docs(doc_id, text, ...), text replaced by n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     kept_text is the remaining bytes as text; a character of which only some
-    bytes went is dropped from it (kept_sha256 is of the exact bytes).
+    bytes went is dropped from it (kept_sha256 is of the exact bytes). These
+    columns, and tag, packed and ranges, replace columns of docs of their names.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    taken = [x.split()[0] for x in _RESULT.split(", ")] + ["tag", "packed", "ranges"]
+    own = docs.drop(*taken).withColumn("doc_id", F.col("doc_id").cast("long"))
+    known = own.where("doc_id is not null")
     packed = packed_texts(known)
-    ranges = repeated_ranges(known, packed, length, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("ranges"))
-    joined = packed.join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges")
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_pack, "doc_id long, packed binary")
-    nameless = nameless.withColumn("ranges", F.lit(None).cast(joined.schema["ranges"].dataType))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_cut, out).unionByName(nameless.mapInArrow(_cut, out))
+    packed = packed.where("doc_id is not null")
+    ranges = repeated_ranges(known.select("doc_id", "text"), packed, length, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("ranges"))
+    joined = packed.join(ranges, "doc_id", "left").select(*packed.columns, "ranges")
+    nameless = packed_texts(own.where("doc_id is null")).withColumn("ranges", F.lit(None).cast(joined.schema["ranges"].dataType))
+    schema = StructType([f for f in packed.schema.fields if f.name not in ("tag", "packed")] + StructType.fromDDL(_RESULT).fields)
+    return joined.mapInArrow(_cut, schema).unionByName(nameless.mapInArrow(_cut, schema))

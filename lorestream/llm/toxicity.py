@@ -13,7 +13,8 @@ of each sample row reach the one task that learns. The model has a fixed size an
 is broadcast; scoring has no shuffle.
 
 Edge cases: null and empty texts score by the intercept; null labels are not
-learned from, repeated labels of a document count once (the greater); without
+learned from, repeated labels of a document count once (the greater); of
+several texts under one labelled doc_id the least is learned from; without
 labels all scores are 0.5; repeated rows give repeated results; null doc_ids are
 scored and never held out; other columns are ignored.
 """
@@ -24,12 +25,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import materialize
+from lorestream.llm.common import byte_slices, discard, materialize, text_bytes
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAMS = (4, 5, 6)
@@ -38,6 +38,7 @@ _MAP = np.arange(256, dtype=np.uint8)
 _MAP[65:91] += 32
 _MAP[[9, 10, 11, 12, 13]] = 32
 _PART = 1 << 19
+_ENTRIES = 1 << 20
 
 
 def _places(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,30 +78,29 @@ def features(texts: list[bytes], kept: np.ndarray | None = None) -> tuple[np.nda
     return key >> BITS, key & (1 << BITS) - 1
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic, other): documents of a task that have a feature."""
     toxic, other = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
-    for batch in batches:
-        y = batch.column("y").to_numpy()
-        row, feature = features(_texts(batch))
+    for part in byte_slices(batches):
+        y = part.column("y").to_numpy()
+        row, feature = features(text_bytes(part))
         toxic += np.bincount(feature[y[row] == 1], minlength=1 << BITS)
         other += np.bincount(feature[y[row] == 0], minlength=1 << BITS)
     some = np.flatnonzero(toxic + other)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(toxic[some]), pa.array(other[some])], names=["feature", "toxic", "other"])
+    for at in range(0, len(some), 1 << 16):
+        f = some[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic[f]), pa.array(other[f])], names=["feature", "toxic", "other"])
 
 
 def _kept_rows(kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(1 << BITS, dtype=bool)
         mask[kept.value] = True
-        for batch in batches:
-            row, feature = features(_texts(batch), mask)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        for part in byte_slices(batches):
+            row, feature = features(text_bytes(part), mask)
+            cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], names=["doc_id", "y", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], names=["doc_id", "y", "features"])
 
     return run
 
@@ -119,35 +119,48 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def learn(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, steps: int = 400, decay: float = 2e-3, positive: float = 4.0) -> tuple[np.ndarray, float]:
+def learn(cuts: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 2e-3, positive: float = 4.0) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression, by accelerated gradient steps with L2 decay.
 
-    positive: weight of a toxic row against another, as toxic rows are few.
+    Row i has the columns column[cuts[i] : cuts[i + 1]], each with the value
+    scale[column]. Rows are worked on in parts of bounded size. positive: weight
+    of a toxic row against another, as toxic rows are few.
     """
+    size = len(scale)
     w = np.zeros(size + 1)
     last = w.copy()
-    part = np.where(y == 1, positive, 1.0)
-    part /= part.sum()
-    norms = np.bincount(row, weights=value * value, minlength=len(y)) + 1
-    rate = 4 / (part * norms).sum()  # the trace bounds the curvature
+    share = np.where(y == 1, positive, 1.0)
+    share /= share.sum()
+    bounds = [0]
+    while bounds[-1] < len(y):
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(cuts, cuts[bounds[-1]] + _ENTRIES, side="right")) - 1))
+    parts = [(slice(lo, hi), column[cuts[lo] : cuts[hi]], np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(cuts[lo : hi + 1]))) for lo, hi in zip(bounds, bounds[1:])]
+    square = scale * scale
+    trace = sum(float((share[at] * (np.bincount(row, weights=square[col], minlength=at.stop - at.start) + 1)).sum()) for at, col, row in parts)
+    rate = 4 / trace  # the trace bounds the curvature
     for t in range(steps):
         ahead = w + (t / (t + 3)) * (w - last)
-        margin = np.bincount(row, weights=value * ahead[column], minlength=len(y)) + ahead[-1]
-        off = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * part
-        gradient = np.append(np.bincount(column, weights=value * off[row], minlength=size), off.sum())
-        gradient[:-1] += decay / len(y) * ahead[:-1]
+        scaled = ahead[:-1] * scale
+        gradient = np.zeros(size + 1)
+        for at, col, row in parts:
+            margin = np.bincount(row, weights=scaled[col], minlength=at.stop - at.start) + ahead[-1]
+            off = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[at]) * share[at]
+            gradient[:-1] += np.bincount(col, weights=off[row], minlength=size)
+            gradient[-1] += off.sum()
+        gradient[:-1] = gradient[:-1] * scale + decay / len(y) * ahead[:-1]
         last, w = w, ahead - rate * gradient
     return w[:-1], float(w[-1])
 
 
 def _learned(kept, ratios):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        sizes = rows["features"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(rows)), sizes)
-        column = np.searchsorted(kept.value, np.concatenate([np.asarray(x, dtype=np.int64) for x in rows["features"]]))
-        w, b = learn(row, column, ratios.value[column], rows["y"].to_numpy(dtype=np.float64), len(kept.value))
-        return pd.DataFrame({"w": [w.tobytes()], "b": [b]})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.select(["doc_id", "y", "features"]).sort_by("doc_id").combine_chunks()
+        lists = rows.column("features").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        column = np.searchsorted(kept.value, lists.values.to_numpy(zero_copy_only=False)).astype(np.int32)
+        w, b = learn(cuts, column, ratios.value, rows.column("y").to_numpy().astype(np.float64))
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b]})
 
     return run
 
@@ -156,9 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, size: int
     """A model learned from labels(doc_id, y 0/1, not null) of at most train_rows documents."""
     spark = docs.sparkSession
     chosen = labels.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = materialize(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "sample")
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    sample = materialize(texts, "sample")
     n = sample.agg(F.sum("y").alias("toxic"), F.count("*").alias("all")).first()
     if not n.all:
+        discard(sample)
         return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
     counts = sample.mapInArrow(_counts, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") + F.col("other") >= least)
     p, q = (F.col("toxic") + 1) / F.lit(n.toxic + 2), (F.col("other") + 1) / F.lit(n.all - n.toxic + 2)
@@ -167,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, size: int
     kept = spark.sparkContext.broadcast(top["feature"].to_numpy(dtype=np.int64))
     ratios = spark.sparkContext.broadcast(top["ratio"].to_numpy(dtype=np.float64))
     rows = sample.mapInArrow(_kept_rows(kept), "doc_id long, y int, features array<int>")
-    model = rows.groupBy(F.lit(0).alias("one")).applyInPandas(_learned(kept, ratios), "w binary, b double").first()
+    model = rows.groupBy(F.lit(0).alias("one")).applyInArrow(_learned(kept, ratios), "w binary, b double").first()
+    discard(sample)
     return Linear(kept.value, np.frombuffer(model.w, dtype=np.float64) * ratios.value, model.b)
 
 
@@ -175,10 +191,8 @@ def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(1 << BITS, dtype=bool)
         mask[model.value.kept] = True
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(_texts(batch), mask))], names=["doc_id", "score"])
+        for part in byte_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.value.score(text_bytes(part), mask))], names=["doc_id", "score"])
 
     return run
 
