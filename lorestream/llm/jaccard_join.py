@@ -29,8 +29,8 @@ No cap drops anything: all documents, all shingles, all regions take part.
 Edge cases: null, empty or wordless texts have n_shingles 0 and link with
 nothing; texts of fewer words than a shingle are one shingle; rows with a null
 doc_id are returned with a null component and link with nothing; repeated rows
-are equal sets; texts that share a doc_id each follow their own links; other
-columns of the input are ignored.
+are equal sets; texts that share a doc_id each follow their own links, as
+members are sets, numbered apart; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import components, materialize, whole_groups
+from lorestream.llm.common import byte_slices, components, discard, materialize, text_bytes, whole_groups
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -90,10 +90,6 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-
-
 def _frequent(words: int):
     """(shingle, documents) of shingles seen in three or more documents of one block of a task."""
 
@@ -105,11 +101,11 @@ def _frequent(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            for s in shingle_sets(_texts(batch), words):
+        for batch in byte_slices(batches):
+            for s in shingle_sets(text_bytes(batch), words):
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted(held)
                     held, size = [], 0
         if held:
@@ -126,15 +122,15 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-_ROWS = "doc_id long, n_shingles long, s1 long, s2 long, bits binary, pivots array<long>"
+_ROWS = "doc_id long, tag long, n_shingles long, s1 long, s2 long, bits binary, pivots array<long>"
 
 
 def _members(words: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, place = frequent.value
-        for batch in batches:
+        for batch in byte_slices(batches):
             out: list[tuple] = []
-            for s in shingle_sets(_texts(batch), words):
+            for s in shingle_sets(text_bytes(batch), words):
                 n = len(s)
                 if not n:
                     out.append((0, 0, 0, None, None))
@@ -153,7 +149,7 @@ def _members(words: int, percent: int, frequent):
                 out.append((n, *digest, bitmap(s), first.view(np.int64)))
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[x.split()[0] for x in _ROWS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[x.split()[0] for x in _ROWS.split(", ")])
 
     return run
 
@@ -204,7 +200,7 @@ def _candidates(percent: int, nearest: bool, few: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "region"):
-            region, ids, sizes = (table.column(c).to_numpy() for c in ("region", "doc_id", "n_shingles"))
+            region, ids, sizes = (table.column(c).to_numpy() for c in ("region", "member", "n_shingles"))
             labels = None if nearest else table.column("label").to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
             small, large = np.minimum.reduceat(sizes, cuts[:-1]), np.maximum.reduceat(sizes, cuts[:-1])
@@ -227,16 +223,16 @@ def _candidates(percent: int, nearest: bool, few: int = 0):
 
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(_texts(batch), words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
+        for batch in byte_slices(batches):
+            sets = pa.array([s.tobytes() for s in shingle_sets(text_bytes(batch), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("member"), sets], names=["member", "shingles"])
 
     return run
 
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(byte_slices(batches, "x"), "y"):
             good = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -251,64 +247,124 @@ def _linked(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    x = sets.select(F.col("member").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("member").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+
+
+def _set_members(known: DataFrame) -> DataFrame:
+    """A row for each set: s1, s2, its smallest doc_id (set_id) with the tag of that text, and its member number.
+
+    That is set_id, but for sets whose smallest doc_id also has other texts: all but one of those get a 64-bit hash.
+    """
+    sets = known.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "tag")).alias("least")).select("s1", "s2", F.col("least.doc_id").alias("set_id"), F.col("least.tag").alias("set_tag"))
+    first = sets.groupBy("set_id").agg(F.min(F.struct("s1", "s2")).alias("first"))
+    plain = F.col("first") == F.struct("s1", "s2")
+    return sets.join(first, "set_id").select("s1", "s2", "set_id", "set_tag", F.when(plain, F.col("set_id")).otherwise(F.xxhash64("set_id", "s1", "s2")).alias("member"))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether any doc_id has one text twice."""
+    return not rows.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
+
+
 def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int = 64, listed: int = 1 << 16, block: int = 1024, few: int = 8) -> DataFrame:
-    """Per row of docs(doc_id, text): n_shingles, set_id and component_id.
+    """Per row of docs(doc_id, text): n_shingles, set_id, component_id, class_id and tag.
 
     Two documents link when 100 * shared shingles >= percent * all their
     shingles; component_id is the smallest doc_id reachable by links, set_id the
-    smallest doc_id with the same set. The `listed` most frequent shingles among
+    smallest doc_id with the same set, class_id the component's number, which
+    differs between components even where doc_ids repeat (null for empty sets),
+    tag a hash of the text. The `listed` most frequent shingles among
     those in `often` documents or more come last in the order of pivots. Regions
     of more than `block` documents are joined block by block; those of at most
     `few` need no second round.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = _own(docs)
     counted = own.mapInArrow(_frequent(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     top = counted.orderBy(F.desc("n"), "shingle").limit(listed).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(top)
     frequent = spark.sparkContext.broadcast((top[order], len(top) - order))
 
-    rows = materialize(own.mapInArrow(_members(words, percent, frequent), _ROWS), "members")
+    rows = materialize(own.mapInArrow(_members(words, percent, frequent), _ROWS), "rows")
     known = rows.where("n_shingles > 0 and doc_id is not null")
-    sets_ = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("set_id"))
-    members = known.select("doc_id", "n_shingles", "pivots").join(sets_.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    seats = members.select("doc_id", "n_shingles", F.posexplode("pivots").alias("nth", "pivot"))
+    repeats = _repeats(known)
+    sets_ = materialize(_set_members(known), "sets")
+
+    # Only pivots of two members or more make regions; all others go before anything else is carried.
+    leads = (F.col("doc_id") == F.col("set_id")) & (F.col("tag") == F.col("set_tag"))
+    members = known.join(sets_, ["s1", "s2"]).where(leads)
+    seats = members.select("member", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("pivots").alias("nth", "pivot"))
+    met = seats.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
+    shared = seats.join(met, "pivot")
+    shared = materialize(shared.dropDuplicates(["pivot", "member"]) if repeats else shared, "shared")
 
     size = F.col("n_shingles")
-    regions = seats.groupBy("pivot").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
+    regions = shared.groupBy("pivot").agg(
+        F.count("*").alias("n"), F.min("member").alias("lo"), F.max("member").alias("hi"), F.bit_xor(F.xxhash64("member")).alias("mark"),
         F.min(size).alias("small"), F.max(size).alias("large"), F.min(size - F.col("nth")).alias("rest"),
     )
     possible = (100 * F.col("small") >= percent * F.col("large")) & ((100 + percent) * F.col("rest") >= percent * (F.col("small") + F.col("large")))
     regions = regions.where((F.col("n") > 2) | (F.col("n") == 2) & possible).groupBy("n", "lo", "hi", "mark").agg(F.min("pivot").alias("pivot"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = seats.select("pivot", "doc_id").join(regions.select("pivot", "n", blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "blocks").cast("int"))
+    placed = shared.select("pivot", "member").join(regions.select("pivot", "n", blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "member"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "doc_id", F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), (F.col("n") > few).alias("many")
+        "member", F.xxhash64("pivot", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), (F.col("n") > few).alias("many")
     )
-    seated = materialize(placed.join(known.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"]), "doc_id").select("region", "doc_id", "many", "n_shingles", "bits"), "seats")
+    placed = materialize(placed, "placed")
+    bits = members.select("member", "n_shingles", "bits").join(placed.select("member").distinct(), "member", "left_semi")
+    bits = bits.dropDuplicates(["member"]) if repeats else bits
+    seated = materialize(placed.join(bits, "member").select("region", "member", "many", "n_shingles", "bits"), "seats")
+    discard(shared, placed)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arranged = lambda df: df.repartition(parts, "region").sortWithinPartitions("region")
     first = materialize(arranged(seated.drop("many")).mapInArrow(_candidates(percent, True, few), "a long, b long").distinct(), "candidates")
-    wanted = materialize(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "wanted")
-    if wanted.count() <= _MAP_SMALL:
-        wanted = F.broadcast(wanted)
-    sets = materialize(own.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id long, shingles binary"), "sets")
+    wanted = first.select(F.col("a").alias("member")).union(first.select("b")).distinct()
+    wanted = materialize(sets_.join(wanted, "member", "left_semi").select(F.col("set_id").alias("doc_id"), F.col("set_tag").alias("tag"), "member"), "wanted")
+    small = wanted.count() <= _MAP_SMALL
+    sets = own.join(F.broadcast(wanted) if small else wanted, ["doc_id", "tag"]).select("member", "text").mapInArrow(_set_rows(words), "member long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["member"]) if repeats else sets, "shingles")
     links = materialize(_verified(first, sets, percent), "links")
-    label = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    labelled = seated.where("many").drop("many").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    label = components(links).select(F.col("id").alias("member"), F.col("component").alias("label"))
+    labelled = seated.where("many").drop("many").join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
     second = arranged(labelled).mapInArrow(_candidates(percent, False), "a long, b long").distinct()
-    links = materialize(links.union(_verified(second, sets, percent)), "links")
-
-    component = components(links)
-    own_set = known.select("doc_id", "s1", "s2").distinct().join(sets_, ["s1", "s2"]).join(component, F.col("set_id") == F.col("id"), "left")
-    found = own_set.select("s1", "s2", "set_id", F.coalesce("component", "set_id").alias("component_id")).distinct()
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left")
-    alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", *(F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("set_id", "component_id")))
+    every = materialize(links.union(_verified(second, sets, percent)), "links")
+    discard(seated, first, wanted, sets, links)
+
+    component = components(every)
+    linked = sets_.join(component, F.col("member") == F.col("id")).select("s1", "s2", "set_id", "component")
+    least = linked.groupBy("component").agg(F.min("set_id").alias("component_id"))
+    linked = linked.join(least, "component").select("s1", "s2", "component", "component_id")
+    found = sets_.join(linked, ["s1", "s2"], "left").select("s1", "s2", "set_id", F.coalesce("component_id", "set_id").alias("component_id"), F.coalesce("component", "member").alias("class_id"))
+    columns = ["doc_id", "n_shingles", "set_id", "component_id", "class_id", "tag"]
+    out = known.select("doc_id", "tag", "n_shingles", "s1", "s2").join(found, ["s1", "s2"]).select(*columns)
+    id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", id_.alias("set_id"), id_.alias("component_id"), F.lit(None).cast("long").alias("class_id"), "tag")
+    out = materialize(out.unionByName(alone), "classes")
+    discard(rows, sets_, every)
+    return out
+
+
+def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each component of `join_classes`, that of smallest doc_id.
+
+    Of rows with this doc_id and several texts in the component the text of least
+    hash stays, of repeated rows one. Rows without shingles stay, one of each
+    (doc_id, text); rows with a null doc_id all stay. Other columns pass through;
+    `tag` and `nth` replace columns of these names.
+    """
+    found = join_classes(docs, words, percent, **how).where("doc_id is not null")
+    first = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select("first.*")
+    first = first.unionByName(found.where("class_id is null").select("doc_id", "tag").distinct())
+    own = docs.drop("tag", "nth")
+    tagged = own.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit("")))).join(first, ["doc_id", "tag"], "left_semi")
+    if _repeats(found):
+        order = Window.partitionBy("doc_id", "tag").orderBy(F.xxhash64(*own.columns))
+        tagged = tagged.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return tagged.select(*own.columns).unionByName(own.where("doc_id is null"))

@@ -67,7 +67,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its component under Jaccard 0.85 or more on four-word shingles."""
-    return jaccard_join.join_classes(_table(spark, sf_dir, "documents"))
+    return jaccard_join.join_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "set_id", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

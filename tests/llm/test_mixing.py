@@ -78,3 +78,30 @@ def test_tree_splits_exactly_and_evenly():
     assert np.ptp(dealt.sum(axis=0)) <= 2
     assert (dealt == M.split_quotas(quotas, 7, 3)).all()
     assert abs(dealt[0] - 1000 / 7).max() < 40
+
+
+def test_repeats_clashing_ids_and_columns(spark):
+    data = [(1, "a", "one two three")] * 30 + [(1, "a", "other text of five words")] * 2 + [(None, "a", f"w{i} x") for i in range(40)] + [(i, "b", "z " * (i % 9), ) for i in range(200)]
+    df = spark.createDataFrame([(*r, "k", 7) for r in data], "doc_id long, source string, text string, key string, copies int").repartition(4)
+    got = M.plan(df, block_words=50, shards=3).collect()
+    assert len(got) == len(data)
+    for s in ("a", "b"):
+        mine = [r for r in got if r.source == s]
+        assert 0 <= round(mine[0].target) - sum(r.taken for r in mine) < 32
+    out = M.mix(df, block_words=50, shards=3, part_words=20)
+    assert out.columns == ["doc_id", "source", "text", "key", "copies", "shard"]
+    rows = out.collect()
+    assert {(r.key, r.copies) for r in rows} == {("k", 7)}
+    per = lambda rs, n: {s: sum(n(r) for r in rs if r.source == s) for s in ("a", "b")}
+    assert per(rows, lambda r: len(r.text.split())) == per(got, lambda r: r.taken)
+    assert sorted(r.text for r in rows) == sorted(r.text for r in M.mix(df.repartition(2), block_words=50, shards=3).collect())
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a", "word " * 400_000), (2, "b", "x y"), (3, "c", None)], "doc_id long, source string, text string")
+    assert {r.doc_id: r.size for r in M.plan(df).collect()} == {1: 400_000, 2: 2, 3: 0}
+    taken = {r.doc_id: r.taken for r in M.plan(df).collect()}
+    mixed = {r.doc_id: 0 for r in M.plan(df).collect()}
+    for r in M.mix(df).collect():
+        mixed[r.doc_id] += len((r.text or "").split())
+    assert mixed == taken and taken[2] == 6
