@@ -31,19 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import materialize
+from lorestream.llm.common import byte_slices, materialize
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_MEMO = 600_000
-_MARKS = tuple(",.;:!?")
+_MEMO, _LONGEST = 150_000, 64
+_MARKS = ",.;:!?"
 
 
 class WordIds:
     """Token ids of texts, word by word: right for tokenizers that lower case, drop white space, never cross
     it and part letters and digits from what follows them.
 
-    Ids are packed little-endian 32-bit. Two memos of limited size serve all tasks of a Python worker: words as
-    they stand, and stems, which are words in lower case without one closing mark.
+    Ids are packed little-endian 32-bit. A memo of two generations serves all tasks of a Python worker: when the
+    newer is full the older goes, and words met again move to the newer. Long words are not kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,36 +51,65 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        parts = {w: _stem(w) for w in words}
-        missing = list({x for pair in parts.values() for x in pair}.difference(self.stems))
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.stems[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, (stem, mark) in parts.items():
-            self.known[w] = self.stems[stem] + self.stems[mark]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        missing = set(words).difference(self.known)
-        if missing:
-            if len(self.stems) > _MEMO:
-                self.stems.clear()
-            if len(self.known) > _MEMO:
-                self.known.clear()
-                missing = set(words)
-            self.learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A word as two parts that the tokenizer treats apart: itself, in lower case where that is plain, and a closing mark."""
-    stem, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS and word[-2:-1].isalnum() else (word, "")
-    return (stem.lower() if stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem else stem), mark
+        self.older: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(words), 4096):
+            for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False):
+                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Of words of letters alone, which end at the first token that ends a word: many in one text."""
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            raw = ids.tobytes()
+            if len(cuts) == len(part) + 1:
+                yield from (raw[x:y] for x, y in zip(cuts, cuts[1:]))
+            else:
+                yield from self._encoded(part)
+
+    def learn(self, words: list[str]) -> None:
+        parts = [_stem(w) for w in words]
+        plain = {s for s, _, letters in parts if letters}
+        other = {x for s, mark, letters in parts for x in (mark, "" if letters else s)}
+        plain, other = list(plain), list(other)
+        found = dict(zip(plain, self._letters(plain))) | dict(zip(other, self._encoded(other)))
+        for w, (stem, mark, _) in zip(words, parts):
+            self.known[w] = found[stem] + found[mark]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > _MEMO:
+            self.older, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        missing = list(missing - again)
+        self.learn(missing)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > _LONGEST:
+                del self.known[w]
+        return out
+
+
+def _stem(word: str) -> tuple[str, str, bool]:
+    """A word as two parts that the tokenizer treats apart, itself, in lower case where that is plain, and a closing
+    mark; and whether the first is only letters that lower case and normal form leave as they are."""
+    if not word.isascii() and (max(word) > "\u017f" or "\u0130" in word) or "<|" in word:
+        return word, "", False
+    if word.isalpha():
+        return word.lower(), "", True
+    if word[-1:] in _MARKS and word[-2:-1].isalnum():
+        stem = word[:-1].lower()
+        return stem, word[-1], stem.isalpha()
+    return word.lower(), "", False
 
 
 @functools.cache
@@ -92,17 +121,18 @@ def _tokenized(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
-        step = 4 * capacity
-        for batch in batches:
+        step, nth = 4 * capacity, 0  # nth: of the task's pieces, which deals rows alike to different buckets
+        for batch in byte_slices(batches):
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = ids_of(text or "") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of([t or "" for t in batch.column("text").to_pylist()])):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), nth))
+                    nth += 1
+            cols = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     return run
 
@@ -191,11 +221,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     space and never crosses it.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(own.mapInArrow(_tokenized(tokenizer, capacity, end_id), _PIECES), "pieces")
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    pieces = materialize(own.mapInArrow(_tokenized(tokenizer, capacity, end_id), f"{_PIECES}, nth long"), "pieces")
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start"))
-    ranked = dealt.withColumn("nth", nth).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "before", "nth")
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "nth"))
+    ranked = dealt.withColumn("nth", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "before", "nth")
     return ranked.mapInArrow(_placed(_slots(bin_plan(histogram, capacity), capacity)), f"{_PIECES}, sequence_id long, offset long")

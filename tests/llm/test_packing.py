@@ -60,7 +60,20 @@ def test_words_alone_give_the_ids_of_whole_texts(spark):
     ids_of = P.WordIds(PATH)
     texts = TEXTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for t in texts:
-        assert np.frombuffer(ids_of(t or ""), dtype="<u4").tolist() == whole_ids(t)[:-1]
+        assert np.frombuffer(ids_of([t or ""])[0], dtype="<u4").tolist() == whole_ids(t)[:-1]
+
+
+def test_fuzzed_texts_give_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(P, "_MEMO", 3000)
+    whole, ids_of, rng = Tokenizer.from_file(PATH), P.WordIds(PATH), random.Random(8)
+    parts = [*"abcXYZéßÀŉŸſµªº0123İıΣς漢\u0301\u0307\u0130\u212a", *",.;:!?'-_#&|<>", " ", "\n", "\t", "\x0b", "\x85", "\xa0", "\u3000", "'s", "'LL", "don't", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "word", "Th", "ing", "x" * 70, "</w>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(100_000)]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        want = [e.ids for e in whole.encode_batch_fast(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids_of(part)] == want
 
 
 @pytest.mark.parametrize("seed", range(30))
