@@ -38,7 +38,7 @@ def test_stages(spark, table):
     assert good.columns == P.COLUMNS and sorted(r.doc_id for r in good.collect()) == sorted(i for i in every if i < 200)
 
     one = materialize(P.keep_one_of_each_class(spark, good, table), "t")
-    classes = test_jaccard_join.brute([(r.doc_id, r.text) for r in good.collect()])
+    classes = test_jaccard_join.brute([(r.doc_id, r.text) for r in good.collect()], 5, 80)
     assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, (_, c) in classes.items() if c == i)
     assert one.columns == P.COLUMNS
 
@@ -68,3 +68,26 @@ def test_stages(spark, table):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeats_ties_clashes_and_a_long_text(spark, tmp_path):
+    """Repeated rows, two texts under one id, texts of one size, a text of 1 MB, extra columns of the stages' own names."""
+    prose = test_quality_rules.prose
+    rows = [(i, prose(200, seed=i), "en", f"s{i % 3}", 1, "x") for i in range(12)]
+    rows += [rows[4]] * 5 + [(7, prose(200, seed=77), "de", None, 1, "x"), (None, prose(200, seed=78), "en", "s1", 1, "x"), (50, prose(150_000, seed=79), "en", "s2", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").repartition(5)
+    for c in ("tag", "packed", "key", "copies", "length", "nth"):
+        df = df.withColumn(c, df["kept"])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = materialize(P.keep_good(spark, docs, ""), "t")
+    assert good.where("doc_id = 4").count() == 6 and good.count() >= 19
+    one = materialize(P.keep_one_of_each_class(spark, good, ""), "t")
+    assert one.columns == P.COLUMNS
+    want = {(r.doc_id, r.text, r.lang, r.source) for r in good.collect()}
+    assert sorted(map(str, ((r.doc_id, r.text, r.lang, r.source) for r in one.collect()))) == sorted(map(str, want))
+    cut = materialize(P.cut_repeats(spark, one, ""), "t")
+    assert {(r.doc_id, r.lang, r.source) for r in cut.collect()} == {w[:1] + w[2:] for w in want} and cut.count() == len(want)
+    mixed = materialize(P.mix_sources(spark, cut, ""), "t")
+    assert {r.lang for r in mixed.where("source is null").collect()} == {"de"}
+    assert P.run(spark, str(tmp_path)).where("piece = 0").count() == mixed.count()
