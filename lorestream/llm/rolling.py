@@ -34,7 +34,7 @@ def _power(which: int, n: int, inverse: bool) -> np.ndarray:
     have = _powers.get((which, inverse))
     if have is None or len(have) < n:
         base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
-        have = np.full(max(n, 1 << 19), base, dtype=np.uint64)
+        have = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
         if n <= 1 << 23:

@@ -45,7 +45,7 @@ from lorestream.llm.common import byte_slices, text_bytes, whole_groups
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAM = 28
-_SEGMENT = 1 << 18
+_SEGMENT = 1 << 17
 _SHALLOW = 32
 #: What a task works on at once: compressed bytes of text, stretches, windows and rows of a batch it hands on.
 _PACKED, _HELD, _WINDOWS, _ROWS = 1 << 18, 1 << 18, 1 << 18, 1 << 16
