@@ -111,37 +111,48 @@ def find_roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
         root = after
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each block of edges by stars around the smallest vertices of its parts."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _shrink(most: int):
+    """Replace each block of up to `most` edges by stars around the smallest vertices of its parts."""
 
-    def out() -> pa.RecordBatch:
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         v, r = find_roots(t.column("a").to_numpy(), t.column("b").to_numpy())
         keep = v != r
         return pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(r[keep])], names=["a", "b"])
 
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= 500_000:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
 
+    return run
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, one_task: int = 500_000) -> DataFrame:
     """(id, component): the smallest vertex reachable, for every vertex of edges(a, b).
 
-    Alternating large-star and small-star rounds, each a few joins and
-    aggregations on small integers and written to the shared folder; the number
-    of rounds grows with the logarithm of the largest component. No component is
-    ever gathered in one place. Self links vanish; vertices without other links
-    are absent. Ids are 64-bit integers and not null.
+    Each task first replaces blocks of its edges by stars. What is left is solved
+    at once by one task where it is counted and has at most `one_task` edges, 16
+    bytes each. Otherwise alternating large-star and small-star rounds, each a
+    few joins and aggregations on small integers and written to the shared
+    folder, go on until nothing changes; their number grows with the logarithm of
+    the largest component, and no component is ever gathered in one place. Self
+    links vanish; vertices without other links are absent. Ids are 64-bit
+    integers and not null.
     """
-    now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_shrink, "a long, b long"), "edges")
+    schema = "a long, b long"
+    now = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_shrink(500_000), schema), "edges")
+    if now.count() <= one_task:
+        last, now = now, materialize(now.repartition(1).mapInArrow(_shrink(one_task + 1), schema), "edges")
+        discard(last)
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
     mark = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")

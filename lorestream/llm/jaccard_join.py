@@ -296,15 +296,16 @@ def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int
     repeats = _repeats(known)
     sets_ = materialize(_set_members(known), "sets")
 
-    # Only pivots of two members or more make regions; all others go before anything else is carried.
+    # Only pivots of two members or more, of possible sizes, make regions; all others go before anything else is carried.
     leads = (F.col("doc_id") == F.col("set_id")) & (F.col("tag") == F.col("set_tag"))
     members = known.join(sets_, ["s1", "s2"]).where(leads)
     seats = members.select("member", F.col("n_shingles").cast("int").alias("n_shingles"), F.posexplode("pivots").alias("nth", "pivot"))
-    met = seats.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
+    size = F.col("n_shingles")
+    met = seats.groupBy("pivot").agg(F.count("*").alias("n"), F.min(size).alias("small"), F.max(size).alias("large"))
+    met = met.where((F.col("n") > 2) | (F.col("n") == 2) & (100 * F.col("small") >= percent * F.col("large"))).select("pivot")
     shared = seats.join(met, "pivot")
     shared = materialize(shared.dropDuplicates(["pivot", "member"]) if repeats else shared, "shared")
 
-    size = F.col("n_shingles")
     regions = shared.groupBy("pivot").agg(
         F.count("*").alias("n"), F.min("member").alias("lo"), F.max("member").alias("hi"), F.bit_xor(F.xxhash64("member")).alias("mark"),
         F.min(size).alias("small"), F.max(size).alias("large"), F.min(size - F.col("nth")).alias("rest"),
