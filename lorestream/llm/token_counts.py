@@ -4,14 +4,18 @@ An Aho-Corasick automaton lists every vocabulary piece that ends at each place o
 a word; dynamic programming carries the best score so far and the number of its
 pieces, never the pieces. Tie rule of unigram tokenizers: of equal scores the
 path whose last piece starts earlier wins, as a later candidate must be strictly
-better. A character no piece covers alone costs 10 below the least score and
-counts one token for each of its UTF-8 bytes (byte fallback).
+better. The unknown rule: a character that is no piece itself may be passed at 10 below
+the least score and counts one token for each of its UTF-8 bytes (byte fallback).
 
 Words are runs of other than ASCII white space, each with a leading mark;
-pieces do not cross words, so each task counts a word once and keeps it in a
-memo of bounded size. One pass over each row, no shuffle.
+pieces do not cross words, so each task counts a word once and keeps it, up to
+64 bytes long, in a memo of bounded size. One pass over each row, no shuffle.
 
-The vocabulary is a file of pieces and scores, read where the task runs.
+The vocabulary is read from a file of pieces where the task runs. The public file
+is one of byte-pair merges and has ranks, not probabilities; nothing is trained,
+the pieces get log-probabilities from their ranks by Zipf's law. The counts are
+those of this unigram vocabulary, an estimate of the file's own tokenizer's, not
+its counts.
 
 Edge cases: null, empty and wordless texts have 0 tokens; repeated rows give
 repeated results; a null doc_id is kept; other columns pass through
@@ -20,24 +24,37 @@ repeated results; a null doc_id is kept; other columns pass through
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lorestream.llm.common import byte_slices
+
 MARK = "▁"
-_MEMO = 500_000
+_MEMO, _LONGEST = 300_000, 64
 _UNKNOWN = 10.0
 RESULT = "n_words long, n_tokens long, score double"
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Normal and user pieces of a sentencepiece file with their scores."""
+    """Normal pieces of a sentencepiece file with log-probabilities by Zipf's law from their ranks.
+
+    The file's own scores are minus the rank, which no probability is; those of
+    pieces without a rank (runs of marks) are -1e9. Pieces that hold nothing but
+    several marks are left out, as no word has them; the single mark, which every
+    word may need, takes the last rank.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     skip = lambda i: model.is_unknown(i) or model.is_control(i) or model.is_byte(i)
-    return [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size()) if not skip(i)]
+    ranks = {model.id_to_piece(i): -float(model.get_score(i)) for i in range(model.get_piece_size()) if not skip(i)}
+    ranks = {piece: rank for piece, rank in ranks.items() if piece.strip(MARK)}
+    ranks[MARK] = max(ranks.values()) + 1
+    total = math.log(math.fsum(1 / (rank + 1) for rank in ranks.values()))
+    return [(piece, -math.log(rank + 1) - total) for piece, rank in ranks.items()]
 
 
 class Counter:
@@ -83,6 +100,8 @@ class Counter:
         for w in set(words).difference(known):
             known[w] = self.best(MARK + w.decode())
         found = [known[w] for w in words]
+        for w in [w for w in set(words) if len(w) > _LONGEST]:
+            del known[w]
         return len(words), sum(c for _, c in found), float(sum(s for s, _ in found))
 
 
@@ -90,7 +109,7 @@ def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocabulary(path))
         names = [x.split()[0] for x in RESULT.split(", ")]
-        for batch in batches:
+        for batch in byte_slices(batches):
             cols = list(zip(*(count(t or "") for t in batch.column("text").to_pylist()))) or [(), (), ()]
             own = [(n, batch.column(n)) for n in batch.schema.names if n not in names]
             new = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))]

@@ -35,6 +35,16 @@ def test_counts_equal_the_library(spark):
         assert count(text or "")[1] == len(t.encode(flat, add_special_tokens=False).ids), text
 
 
+def test_counts_are_near_those_of_the_files_own_tokenizer(spark):
+    import sentencepiece
+
+    own, count = sentencepiece.SentencePieceProcessor(model_file=PATH), C.Counter(C.vocabulary(PATH))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    mine = sum(count(t)[1] for t in texts)
+    theirs = sum(len(own.encode(" ".join(w.decode() for w in t.encode().split()), num_threads=1)) for t in texts)
+    assert abs(mine / theirs - 1) < 0.05, (mine, theirs)
+
+
 def test_best_path_and_ties():
     c = C.Counter([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("b", -5.0)])
     assert c.best("▁aa") == (-3.0, 2)  # ▁+aa, of three paths of score -3: the last piece starts earliest
