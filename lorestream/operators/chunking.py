@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lorestream.functions import text as T
 
+# Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ", "")
 
 
@@ -46,14 +48,19 @@ def cut(text: str, size: int = 800, overlap: int = 200, separators: tuple[str, .
 def chunk(docs: DataFrame, size: int = 800, overlap: int = 200, shortest: int = 100) -> DataFrame:
     """(doc_id, chunk_index, total_chunks, content) of docs(doc_id, text): chunks shorter than `shortest` go, the rest are renumbered."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                kept = [c for c in cut(text or "", size, overlap) if len(c) >= shortest]
-                if kept:
-                    yield pd.DataFrame({"doc_id": doc, "chunk_index": range(len(kept)), "total_chunks": len(kept), "content": kept})
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                cuts = [[c for c in cut(t or "", size, overlap) if len(c) >= shortest] for t in part.column("text").to_pylist()]
+                many = np.array([len(c) for c in cuts], dtype=np.int32)
+                first = np.repeat(np.cumsum(many) - many, many)
+                index = np.arange(many.sum(), dtype=np.int32) - first.astype(np.int32)
+                docs_ = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(many)), many)))
+                content = pa.array([c for cs in cuts for c in cs], pa.string())
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(index), pa.array(np.repeat(many, many)), content], names=["doc_id", "chunk_index", "total_chunks", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, total_chunks int, content string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, total_chunks int, content string")
 
 
 def with_ids(chunks: DataFrame, source: str = "source", page: str = "page_number") -> DataFrame:

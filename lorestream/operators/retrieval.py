@@ -21,10 +21,10 @@ def postings(docs: DataFrame, tokenize: Callable[[Column], Column] = T.tokens) -
     return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def term_stats(posted: DataFrame, n_docs: Column) -> DataFrame:
-    """(token, df, idf) of postings."""
+def term_stats(posted: DataFrame, totals: DataFrame) -> DataFrame:
+    """(token, df, idf) of postings and a row with n, the number of documents."""
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    return df.crossJoin(F.broadcast(totals)).select("token", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -33,62 +33,107 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
-    """(query_id, doc_id, score, rank) of queries(query_id, query) and docs(doc_id, text).
+def query_postings(queries: DataFrame, docs: DataFrame, tokenize: Callable[[Column], Column] = T.tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked, hits, totals): query_id, token, qtf; token, doc_id, dl, tf of tokens asked for; n_docs, mean in one row.
 
-    Tokens that a query repeats count each time. Postings are cut to the queries'
-    tokens before anything else is joined; document lengths and frequencies come
-    from one tokenisation of the corpus.
+    The corpus is tokenised once: beside its tokens each document has one null
+    token, which no query holds, so that one exchange of counts gives postings and
+    totals; all readers of it have equal plans up to there.
     """
-    bag = docs.select("doc_id", tokenize(F.col("text")).alias("bag"))
-    totals = bag.agg(F.count("*").alias("n_docs"), F.avg(F.size("bag")).alias("mean"))
+    bag = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("bag"))
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("token").distinct()
-    posted = bag.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+    wanted = asked.select(F.col("token").alias("wanted")).distinct()
+    each = bag.select("doc_id", F.size("bag").alias("dl"), F.explode(F.array_append("bag", F.lit(""))).alias("token"))
+    kept = each.join(wanted.unionByName(queries.sparkSession.range(1).select(F.lit("").alias("wanted"))), F.col("token") == F.col("wanted"), "left_semi")
+    posted = kept.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    mark = F.col("token") == ""
+    totals = posted.agg(F.sum(F.when(mark, F.col("tf"))).alias("n_docs"), (F.sum(F.when(mark, F.col("dl") * F.col("tf"))) / F.sum(F.when(mark, F.col("tf")))).alias("mean"))
+    return asked, posted, totals
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, tokenize: Callable[[Column], Column] = T.tokens, digits: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, n_terms, rank) of queries(query_id, query) and docs(doc_id, text).
+
+    Tokens that a query repeats count each time; n_terms: different tokens met.
+    With `digits`, scores are rounded before they are ranked, so equal rounded
+    scores go by doc_id. Ranks keep k rows of a query in each task before rows move.
+    """
+    return top_k(bm25_scores(queries, docs, k1, b, tokenize, digits), k)
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, tokenize: Callable[[Column], Column] = T.tokens, digits: int | None = None) -> DataFrame:
+    """As bm25, all documents that share a token with a query, without ranks."""
+    asked, posted, totals = query_postings(queries, docs, tokenize)
+    df = posted.groupBy("token").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     known = df.crossJoin(F.broadcast(totals)).select("token", "mean", idf.alias("idf"))  # totals is one row
     hits = posted.join(known, "token").select("token", "doc_id", weight.alias("w")).join(asked, "token")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-    return top_k(scored, k)
+    score = F.sum(F.col("w") * F.col("qtf"))
+    return hits.groupBy("query_id", "doc_id").agg((score if digits is None else F.round(score, digits)).alias("score"), F.count("*").alias("n_terms"))
+
+
+_PACKED_VALUES = 1 << 23
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int = 50, least: float | None = None, block: int = 256, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine of queries(query_id, vector) and corpus(doc_id, vector).
 
     With `digits`, scores are rounded before any selection, so equal rounded scores go by doc_id.
+    Vectors that are null, hold nulls or have another dimension than a query do not meet it.
 
-    Queries are packed into blocks of about `block` vectors; each block meets each
-    Arrow batch of the corpus once, as one matrix product that hands on k rows a query.
+    The corpus is read where it lies. Queries of at most 2^23 numbers in all (64 MB), which are counted first, go to
+    every task; more are packed into blocks of about `block` vectors, rows of a table that is joined to the corpus's
+    Arrow batches. A batch hands on k rows a query.
     """
     spark = queries.sparkSession
-    size = queries.count()
-    if not size:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    parts = -(-size // block)
-    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    rows = corpus.select(F.spark_partition_id().alias("at"), F.struct("doc_id", "vector").alias("row"))
-    grouped = rows.groupBy("at", (F.monotonically_increasing_id() / 512).cast("long").alias("piece")).agg(F.collect_list("row").alias("rows"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for asked, have in zip(b["asked"], b["rows"]):
-                q = np.array([x["vector"] for x in asked], dtype=np.float64)
-                x = np.array([x["vector"] for x in have], dtype=np.float64)
-                ids = np.array([r["doc_id"] for r in have])
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                score = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                if digits is not None:
-                    score = np.round(score, digits)
-                for i, r in enumerate(asked):
-                    best = np.lexsort((ids, -score[i]))[:k]
-                    out.append(pd.DataFrame({"query_id": r["query_id"], "doc_id": ids[best], "score": score[i][best]}))
-            if out:
-                yield pd.concat(out)
-
-    scored = grouped.crossJoin(packed).select("asked", "rows").mapInPandas(run, "query_id long, doc_id long, score double")
+    good = lambda t: t.where("vector is not null and not exists(vector, x -> x is null)")
+    queries, corpus = good(queries.select("query_id", "vector")), good(corpus.select("doc_id", "vector"))
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")).first()
+    schema = "query_id long, doc_id long, score double"
+    if not size.n:
+        return spark.createDataFrame([], f"{schema}, rank int")
+
+    def met(asked: list, have: list) -> pd.DataFrame | None:
+        out = []
+        for dim in {len(x["vector"]) for x in asked}:
+            mine, rows = [x for x in asked if len(x["vector"]) == dim], [x for x in have if len(x["vector"]) == dim]
+            if not rows:
+                continue
+            q, x = (np.array([r["vector"] for r in part], dtype=np.float64).reshape(len(part), dim) for part in (mine, rows))
+            ids = np.array([r["doc_id"] for r in rows])
+            norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+            score = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
+            score = score if digits is None else np.round(score, digits)
+            for i, r in enumerate(mine):
+                best = np.lexsort((ids, -score[i]))[:k]
+                out.append(pd.DataFrame({"query_id": r["query_id"], "doc_id": ids[best], "score": score[i][best]}))
+        return pd.concat(out) if out else None
+
+    if size["values"] <= _PACKED_VALUES:
+        sent = spark.sparkContext.broadcast([{"query_id": r.query_id, "vector": list(r.vector)} for r in queries.collect()])
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, len(b), 1024):
+                    part = b.iloc[lo : lo + 1024]
+                    found = met(sent.value, [{"doc_id": d, "vector": v} for d, v in zip(part["doc_id"], part["vector"])])
+                    if found is not None:
+                        yield found
+
+        scored = corpus.mapInPandas(run, schema)
+    else:
+        packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(-(-size.n // block))).alias("part")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+        rows = corpus.select(F.spark_partition_id().alias("at"), F.struct("doc_id", "vector").alias("row"))
+        grouped = rows.groupBy("at", (F.monotonically_increasing_id() / 512).cast("long").alias("piece")).agg(F.collect_list("row").alias("rows"))
+
+        def run_packed(batches):
+            for b in batches:
+                for asked, have in zip(b["asked"], b["rows"]):
+                    if (found := met(asked, have)) is not None:
+                        yield found
+
+        scored = grouped.crossJoin(packed).select("asked", "rows").mapInPandas(run_packed, schema)
     return top_k(scored if least is None else scored.where(F.col("score") >= least), k)
 
 
@@ -147,11 +192,16 @@ def first_of_each(rows: DataFrame, key: Column, order: list[Column]) -> DataFram
 
 
 def greedy_dedup(ranked: DataFrame, threshold: float = 0.85, per: str = "query_id") -> DataFrame:
-    """Of ranked(per, rank, doc_id, vector), in order, those below the threshold to all kept before. A group is one query's top-k."""
+    """Of ranked(per, rank, doc_id, vector), in order, those below the threshold to all kept before. A group is one query's top-k.
+
+    Null vectors and those of fewer components than the longest are like no other and stay.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "doc_id"])
-        x = np.array(rows["vector"].tolist(), dtype=np.float64)
+        dim = max((len(v) for v in rows["vector"] if v is not None), default=0)
+        x = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in rows["vector"]], dtype=np.float64).reshape(len(rows), dim)
+        x = np.nan_to_num(x)
         size = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
         kept: list[int] = []

@@ -142,8 +142,9 @@ def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
 
 def classify_changes(listing: DataFrame, tracker: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): new, modified, deleted or unchanged, from one full outer join."""
-    a, b = listing.select(key, F.col(digest).alias("now")), tracker.select(key, F.col(digest).alias("then"))
-    change = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("now") != F.col("then"), "modified").otherwise("unchanged")
+    a = listing.select(key, F.col(digest).alias("now"), F.lit(True).alias("listed"))
+    b = tracker.select(key, F.col(digest).alias("then"), F.lit(True).alias("tracked"))
+    change = F.when(F.col("tracked").isNull(), "new").when(F.col("listed").isNull(), "deleted").when(~F.col("now").eqNullSafe(F.col("then")), "modified").otherwise("unchanged")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 

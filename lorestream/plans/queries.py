@@ -164,8 +164,9 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""select doc_id, source, text from documents where text is not null qualify row_number() over (partition by text order by doc_id) = 1""")
 def first_of_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each text."""
-    docs = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
-    return retrieval.first_of_each(docs, F.col("text"), [F.col("doc_id")])
+    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    first = docs.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("source", "text"), "doc_id").alias("row"))
+    return first.select("doc_id", "row.source", "row.text")
 
 
 # Structured answers
@@ -193,10 +194,10 @@ def file_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("mentions").cast("long").alias("mentions"), F.row_number().over(Window.orderBy(F.desc("mentions"), "doc_id")).cast("long").alias("place"))
 
 
-@_query("""select doc_id, place, substr(text, greatest(1, place - 150), 300) as snippet from (select doc_id, text, instr(lower(text), 'copyright') as place from documents) where place > 0""")
+@_query("""select doc_id, place, substr(text, greatest(1, place - 150), 300) as snippet from (select doc_id, text, instr(lower(text), 'license') as place from documents) where place > 0""")
 def keyword_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of a keyword in each document that holds it."""
-    return tables.snippets(_read(spark, sf_dir, "documents"), "copyright").withColumn("place", F.col("place").cast("long"))
+    return tables.snippets(_read(spark, sf_dir, "documents"), "license").withColumn("place", F.col("place").cast("long"))
 
 
 @_query("""select source, count(*) as hits, array_to_string(list_sort(list(distinct cast(doc_id % 7 as integer))), ',') as pages, arg_min(substr(text, 1, 300), doc_id) as snippet,
@@ -216,14 +217,11 @@ post as (select doc_id, len(b) as dl, unnest(b) as token from bag), tf as (selec
 df as (select token, count(*) as df from tf group by token)"""
 
 
-@_query(f"with {_STATS} select token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) as idf from df, tot where df >= 3")
+@_query(f"with {_STATS} select token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) as idf from df, tot")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency and weight of index terms in three documents or more."""
+    """Document frequency and weight of every index term."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.agg(F.count("*").alias("n"))
-    posted = retrieval.postings(docs)
-    df = posted.groupBy("token").agg(F.count("*").alias("df")).where("df >= 3")
-    return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+    return retrieval.term_stats(retrieval.postings(docs), docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
 
 
 _BM25 = f"""{_STATS}, asked as (select item_id as query_id, token, count(*) as qtf from (select item_id, unnest({_tokens('text')}) as token from benchmark) group by all),
@@ -233,8 +231,7 @@ best as (select *, row_number() over (partition by query_id order by round(score
 
 def _benchmark(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scored = retrieval.bm25(queries, _read(spark, sf_dir, "documents").select("doc_id", "text"), k=1 << 30).drop("rank")
-    return retrieval.top_k(scored.withColumn("score", F.round("score", 6)), k)
+    return retrieval.bm25(queries, _read(spark, sf_dir, "documents").select("doc_id", "text"), k=k, digits=6)
 
 
 @_query(f"with {_BM25} select query_id, doc_id, round(score, 6) as score, rank, round(1 / (1 + exp(-round(score, 6))), 6) as scaled from best")
@@ -255,16 +252,21 @@ def dense_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense(queries, rows, k=10, digits=6).where("score >= 0.1").withColumn("rank", F.col("rank").cast("long"))
 
 
-_LISTS = f"""{_BM25}, early as (select query_id, doc_id, score, row_number() over (partition by query_id order by doc_id desc) as rank from best where rank <= 12),
-lists as (select query_id, 'sparse' as retriever, doc_id, round(score, 6) as score, rank from best union all select query_id, 'recent', doc_id, 0.5 as score, rank from early)"""
+_LISTS = f"""{_BM25}, met as (select query_id, doc_id, count(*) as m from asked join tf using (token) group by all), terms as (select query_id, count(*) as t from asked group by query_id),
+sparse as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from bm qualify rank <= 50),
+cover as (select query_id, doc_id, round(m / t, 6) as score, row_number() over (partition by query_id order by round(m / t, 6) desc, doc_id) as rank from met join terms using (query_id) qualify rank <= 50),
+lists as (select query_id, 'sparse' as retriever, doc_id, round(score, 6) as score, rank from sparse union all select query_id, 'cover', doc_id, score, rank from cover)"""
 _FUSED = "fused as (select query_id, doc_id, {0} as raw, count(*) as n_lists from lists group by all), scaled as (select query_id, doc_id, n_lists, round(case when max(raw) over w > min(raw) over w then (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) else raw end, 9) as score from fused window w as (partition by query_id)), placed as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scaled qualify rank <= 20)"
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two retrievers: by BM25, and its best newest first."""
-    best = _benchmark(spark, sf_dir).select("query_id", F.lit("sparse").alias("retriever"), "doc_id", "score", "rank")
-    newest = best.where("rank <= 12").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id"))))
-    return best.unionByName(newest.withColumn("retriever", F.lit("recent")).withColumn("score", F.lit(0.5)))
+    """Two retrievers over all documents, fifty each: by BM25, and by the share of a query's terms that a document has."""
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scores = retrieval.bm25_scores(queries, _read(spark, sf_dir, "documents").select("doc_id", "text"), digits=6)
+    terms = queries.select("query_id", F.size(F.array_distinct(T.tokens(F.col("query")))).alias("terms"))
+    cover = scores.join(terms, "query_id").select("query_id", "doc_id", F.round(F.col("n_terms") / F.col("terms"), 6).alias("score"))
+    lists = [retrieval.top_k(x, 50).withColumn("retriever", F.lit(name)) for name, x in (("sparse", scores.drop("n_terms")), ("cover", cover))]
+    return lists[0].unionByName(lists[1])
 
 
 @_query(f"with {_LISTS}, {_FUSED.format('sum(1 / (60 + rank))')} select query_id, doc_id, n_lists, round(score, 6) as score, rank from placed")
@@ -277,7 +279,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_LISTS}, {_FUSED.format(chr(115) + 'um(case when retriever = ' + repr('sparse') + ' then 0.7 * score else 0.3 * score end)')} select query_id, doc_id, round(score, 6) as score, rank from placed")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranked lists fused by weighted scores."""
-    out = retrieval.weighted(_lists(spark, sf_dir), {"sparse": 0.7, "recent": 0.3})
+    out = retrieval.weighted(_lists(spark, sf_dir), {"sparse": 0.7, "cover": 0.3})
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -463,8 +465,8 @@ def orders_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.rollup("n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@_query("""select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)""")
+@_query("""select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)""")
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An anti join."""
-    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order: an anti join."""
+    orders = _read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return _read(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")

@@ -22,10 +22,10 @@ def decoded(content: Column) -> Column:
 
 def pages(docs: DataFrame, key: str, text: str = "text", lines: int = 50) -> DataFrame:
     """(key, page_number, n_lines, text): pages of so many lines; an empty text is one empty page."""
-    split = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    per = split.groupBy(key, (F.floor(F.col("pos") / lines) + 1).cast("int").alias("page_number"))
-    out = per.agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("have"))
-    return out.select(key, "page_number", F.size("have").alias("n_lines"), F.array_join(F.col("have.line"), "\n").alias("text"))
+    split = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("all"))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / lines).cast("int")), lambda i: F.slice("all", i * lines + 1, lines))
+    cut = split.select(key, F.posexplode(starts).alias("pos", "have"))
+    return cut.select(key, (F.col("pos") + 1).alias("page_number"), F.size("have").alias("n_lines"), F.array_join("have", "\n").alias("text"))
 
 
 def headings(text: Column) -> Column:
