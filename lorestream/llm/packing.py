@@ -21,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lorestream.llm.common import byte_slices, materialize
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_MEMO, _LONGEST = 150_000, 64
+_MEMO, _KEPT, _LONGEST = 150_000, 30_000, 64
 _MARKS = ",.;:!?"
 
 
@@ -43,7 +44,8 @@ class WordIds:
     it and part letters and digits from what follows them.
 
     Ids are packed little-endian 32-bit. A memo of two generations serves all tasks of a Python worker: when the
-    newer is full the older goes, and words met again move to the newer. Long words are not kept.
+    newer is full the older goes, and words met again move to the newer. Long words are not kept; after a task only the
+    words met first, mostly the common ones, stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,6 +100,9 @@ class WordIds:
                 del self.known[w]
         return out
 
+    def rest(self) -> None:
+        self.known, self.older = dict(itertools.islice(self.known.items(), _KEPT)), {}
+
 
 def _stem(word: str) -> tuple[str, str, bool]:
     """A word as two parts that the tokenizer treats apart, itself, in lower case where that is plain, and a closing
@@ -133,6 +138,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
             cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+        ids_of.rest()
 
     return run
 
