@@ -157,3 +157,93 @@ def visible(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """Chunks of the committed version of each file: versions(file_uuid, ingest_version, state) is the pointer."""
     ready = versions.where("state = 'ready'").groupBy("file_uuid").agg(F.max("ingest_version").alias("ingest_version"))
     return chunks.join(ready, ["file_uuid", "ingest_version"], "left_semi")
+
+
+def kept_after_delete(rows: DataFrame, gone: Column) -> DataFrame:
+    """Rows for which `gone` is not true; a null condition deletes nothing."""
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def keep_one_job(rows: DataFrame, file: str, job: str, keep: DataFrame) -> DataFrame:
+    """Of files named in keep(file, job) only the rows of that job; rows of them with a null job go, other files stay."""
+    known = keep.select(F.col(file).alias("file_"), F.col(job).alias("job_"))
+    return rows.join(known, F.col(file) == F.col("file_"), "left").where(F.col("file_").isNull() | (F.col(job) == F.col("job_"))).select(*rows.columns)
+
+
+def update_where(rows: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
+    """rows with the given columns set where the condition is true."""
+    return rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) if c in rows.columns else F.when(condition, v) for c, v in changes.items()})
+
+
+def commit_job(rows: DataFrame, file: str, job: str, staged: DataFrame) -> DataFrame:
+    """state 'staging' to 'ready' where (file, job) is among staged."""
+    marks = staged.select(file, job).distinct().withColumn("listed_", F.lit(True))
+    return rows.join(marks, [file, job], "left").withColumn("state", F.when(F.col("listed_") & (F.col("state") == "staging"), "ready").otherwise(F.col("state"))).drop("listed_")
+
+
+def one_path_per_file(tracker: DataFrame, file: str, path: str) -> DataFrame:
+    """The least path of each file id."""
+    return tracker.groupBy(file).agg(F.min(path).alias(path))
+
+
+def newest_accessed(cache: DataFrame, key: str, at: str, n: int) -> DataFrame:
+    """What a least-recently-used cache of n entries holds: the n keys used last, ties by key."""
+    return cache.groupBy(key).agg(F.max(at).alias(at)).orderBy(F.desc(at), key).limit(n)
+
+
+def matches_any(values: Column, wanted: list[str]) -> Column:
+    """Whether an array holds any of the wanted values."""
+    return F.arrays_overlap(values, F.array(*map(F.lit, wanted)))
+
+
+def keyword_match(query: str, content: Column, shortest: int = 3) -> Column:
+    """Whether a text holds the query, or any of its words of three characters or more, in any case."""
+    low = F.lower(content)
+    found = low.contains(query.lower())
+    for w in query.lower().split():
+        found = found | low.contains(w) if len(w) >= shortest else found
+    return found
+
+
+def prefix_search(docs: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
+    """(doc_id, hits, rank, scaled) of docs(doc_id, text) in which every term begins a token; any term where none has all.
+
+    hits: tokens that begin with a term; scaled: 1 for the first, 0 for the last of those returned.
+    """
+    bag = docs.select("doc_id", T.tokens(F.col("text")).alias("bag"))
+
+    def begun(term: str) -> Column:
+        return F.size(F.filter("bag", lambda t: t.startswith(term)))
+
+    counts = [begun(x) for x in terms]
+    found = bag.select("doc_id", reduce(lambda a, b: a + b, counts).alias("hits"), reduce(lambda a, b: a & b, [c > 0 for c in counts]).alias("whole")).where("hits > 0")
+    every = found.agg(F.coalesce(F.bool_or("whole"), F.lit(False)).alias("any_whole"))
+    best = found.crossJoin(F.broadcast(every)).where("whole or not any_whole").orderBy(F.desc("hits"), "doc_id").limit(k)  # every is one row
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")))  # of k rows
+    span = F.max("rank").over(Window.partitionBy()) - 1
+    return ranked.select("doc_id", F.col("hits").cast("long").alias("hits"), F.col("rank").cast("long").alias("rank"), F.round(1 - (F.col("rank") - 1) / F.greatest(span, F.lit(1e-9)), 6).alias("scaled"))
+
+
+def retained_turns(turns: DataFrame, most: int) -> DataFrame:
+    """The last turns of each conversation with ids that go on rising when older turns were trimmed."""
+    w = Window.partitionBy("conv_id")
+    numbered = turns.withColumn("turn_id", F.row_number().over(w.orderBy("turn"))).withColumn("n_turns", F.count("*").over(w))
+    return numbered.where(F.col("turn_id") > F.col("n_turns") - most).drop("n_turns")
+
+
+def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(answer_id, n, source): citations [n] of answers(answer_id, text) joined to sources(answer_id, nth, source); others are invalid and go."""
+    named = answers.select("answer_id", F.explode(T.citations(F.col("text"))).alias("n"))
+    return named.join(sources.withColumnRenamed("nth", "n"), ["answer_id", "n"])
+
+
+def first_expected(ranked: DataFrame, expected: DataFrame, per: str, item: str) -> DataFrame:
+    """Per query of ranked(per, item, rank) and expected(per, item): the first rank of an expected item and its reciprocal, null and 0 without one."""
+    hits = ranked.join(expected.select(per, item).distinct(), [per, item]).groupBy(per).agg(F.min("rank").alias("first_rank"))
+    return ranked.select(per).distinct().join(hits, per, "left").withColumn("reciprocal", F.coalesce(F.round(1 / F.col("first_rank"), 6), F.lit(0.0)))
+
+
+def metric_deltas(now: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, now, before, delta) of two metric tables; the delta is null where either lacks the metric."""
+    a, b = now.select(key, F.col(value).alias("now")), before.select(key, F.col(value).alias("before"))
+    return a.join(b, key, "full_outer").withColumn("delta", F.round(F.col("now") - F.col("before"), 6))

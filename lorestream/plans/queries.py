@@ -470,3 +470,159 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without a large order: an anti join."""
     orders = _read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return _read(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+# Index tokens, names and noise
+
+
+_NOISE = " ".join(f"when regexp_matches(b, '{p}') then '{k}'" for k, p in T.NOISE_LINES.items())
+
+
+@_query(f"""select kind, count(*) as n from (select case {_NOISE} end as kind from (select regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') as b from documents))
+  where kind is not null group by kind""")
+def noise_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise lines of all documents by kind."""
+    lines = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(T.noise_kind(F.col("line")).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query("""select doc_id, md5(regexp_replace(text, '[^\\p{L}\\p{N}_\\s.,;:!?''\"()\\[\\]%$&@/+-]', '', 'g')) as digest from documents""")
+def basic_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each document without special characters."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.keep_basic(F.col("text"))).alias("digest"))
+
+
+@_query("""select c_custkey, levenshtein(lower(c_name), lower(n_name)) as distance, round(1 - levenshtein(lower(c_name), lower(n_name)) / greatest(length(c_name), length(n_name)), 6) as similarity
+  from customer join nation on c_nationkey = n_nationkey""")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance and similarity of each customer's name and its nation's."""
+    a, b = F.lower("c_name"), F.lower("n_name")
+    both = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.select("c_custkey", F.levenshtein(a, b).cast("long").alias("distance"), F.round(T.similarity(a, b), 6).alias("similarity"))
+
+
+@_query("""with t as (select p_partkey, p_name, regexp_extract_all(lower(p_name), '[a-z0-9]+') as c, regexp_extract_all(lower(p_brand), '[a-z0-9]+') as q, lower(p_name) as l from part)
+select p_partkey, q = c or len(q) >= 2 and len(list_filter(q, lambda x: not list_contains(c, x))) = 0 or len(c) >= 2 and len(list_filter(c, lambda x: not list_contains(q, x))) = 0
+  or len(q) = 1 and list_contains(c, q[1]) as same, len(list_distinct(c)) as n_tokens from t""")
+def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each part's brand names the part."""
+    rows = _read(spark, sf_dir, "part")
+    return rows.select("p_partkey", T.same_entity(F.col("p_brand"), F.col("p_name")).alias("same"), F.size(F.array_distinct(T.name_tokens(F.col("p_name")))).cast("long").alias("n_tokens"))
+
+
+@_query("""select a.vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def neighbour_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each vector and the next."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
+    return rows.join(other, "vec_id").select("vec_id", "other_id", F.round(T.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+# Search by filters and prefixes
+
+
+@_query("""select doc_id, source from documents where source in ('src0', 'src1') and lang = 'en'""")
+def equality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one language and any of two sources."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.where((F.col("lang") == "en") & tables.matches_any(F.array("source"), ["src0", "src1"])).select("doc_id", "source")
+
+
+@_query("""select doc_id from documents where lower(text) like '%license of%' or lower(text) like '%license%'""")
+def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a query or one of its longer words."""
+    return _read(spark, sf_dir, "documents").where(tables.keyword_match("License of", F.col("text"))).select("doc_id")
+
+
+@_query(f"""with b as (select doc_id, {_tokens('text')} as b from documents), c as (select doc_id, len(list_filter(b, lambda t: starts_with(t, 'comp'))) as x, len(list_filter(b, lambda t: starts_with(t, 'th'))) as y from b),
+f as (select doc_id, x + y as hits, x > 0 and y > 0 as whole from c where x + y > 0), r as (select doc_id, hits, row_number() over (order by hits desc, doc_id) as rank from f where whole or not (select bool_or(whole) from f) qualify rank <= 50)
+select doc_id, hits, rank, round(1 - (rank - 1) / greatest(max(rank) over () - 1, 1e-9), 6) as scaled from r""")
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents with most tokens that begin with the terms."""
+    return tables.prefix_search(_read(spark, sf_dir, "documents"), ["comp", "th"])
+
+
+@_query(f"""with {_BM25}, e as (select item_id as query_id, min(doc_id) as doc_id from documents, benchmark where contains(documents.text, benchmark.text) group by item_id)
+select q.query_id, min(b.rank) as first_rank, coalesce(round(1 / min(b.rank), 6), 0) as reciprocal from (select distinct query_id from best) q left join (select best.* from best join e using (query_id, doc_id)) b on q.query_id = b.query_id group by q.query_id""")
+def first_expected_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark passage the rank of the first document that holds it."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    best = _benchmark(spark, sf_dir)
+    held = best.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", "passage")).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return tables.first_expected(best, held, "query_id", "doc_id").withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
+# Upkeep of tables
+
+
+@_query("""select o_orderstatus, count(*) as n from orders where not (o_totalprice < 50000) group by o_orderstatus""")
+def delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders left by status after cheap ones were deleted."""
+    return tables.kept_after_delete(_read(spark, sf_dir, "orders"), F.col("o_totalprice") < 50000).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@_query("""with k as (select o_custkey, max(o_orderstatus) as s from orders where o_custkey % 2 = 0 group by o_custkey)
+select o_orderkey from orders left join k using (o_custkey) where k.s is null or o_orderstatus = k.s""")
+def keep_one_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, of even customers only those of the last status."""
+    orders = _read(spark, sf_dir, "orders")
+    keep = orders.where("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("o_orderstatus"))
+    return tables.keep_one_job(orders, "o_custkey", "o_orderstatus", keep).select("o_orderkey")
+
+
+@_query("""select o_orderkey, case when o_totalprice > 400000 then 'large' else o_orderpriority end as o_orderpriority, case when o_orderstatus = 'staging' then 'x' end as state from orders""")
+def conditional_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose priority is set where the total is large."""
+    rows = tables.update_where(_read(spark, sf_dir, "orders"), F.col("o_totalprice") > 400000, {"o_orderpriority": F.lit("large")})
+    return tables.update_where(rows, F.col("o_orderstatus") == "staging", {"state": F.lit("x")}).select("o_orderkey", "o_orderpriority", "state")
+
+
+@_query("""select state, count(*) as n from (select case when o_orderstatus = 'F' then 'ready' when o_orderkey % 3 = 0 then 'ready' else 'staging' end as state from orders) group by state""")
+def commit_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by state after the staged ones of some keys were committed."""
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "F", "ready").otherwise("staging").alias("state"))
+    staged = rows.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
+    return tables.commit_job(rows, "o_orderkey", "o_orderstatus", staged).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@_query("""select coalesce(source, 'unknown') as source, count(*) as n, count(*) filter (text is null) as missing, sum(n_chars) as chars from documents group by 1""")
+def backfilled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, missing texts and characters by source, absent sources filled in."""
+    docs = _read(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("missing"), F.sum("n_chars").alias("chars"))
+
+
+@_query("""select p_brand, min(p_name) as p_name from part group by p_brand""")
+def one_path_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One name of each brand."""
+    return tables.one_path_per_file(_read(spark, sf_dir, "part"), "p_brand", "p_name")
+
+
+@_query("""select user_id, max(ts) as ts from events group by user_id order by max(ts) desc, user_id limit 20""")
+def lru_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users a cache of twenty entries would hold."""
+    return tables.newest_accessed(_read(spark, sf_dir, "events"), "user_id", "ts", 20)
+
+
+@_query("""select conv_id, turn, turn_id from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as turn_id, count(*) over (partition by conv_id) as n from conversations) where turn_id > n - 5""")
+def retained_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five turns of each conversation with ids that never repeat."""
+    return tables.retained_turns(_read(spark, sf_dir, "conversations"), 5).select("conv_id", "turn", F.col("turn_id").cast("long").alias("turn_id"))
+
+
+@_query("""with a as (select event_type, avg(value) as v from events where ts >= timestamp '2024-01-15' group by event_type), b as (select event_type, avg(value) as v from events where ts < timestamp '2024-01-15' and event_type <> 'error' group by event_type)
+select coalesce(a.event_type, b.event_type) as event_type, round(a.v, 6) as now, round(b.v, 6) as before, round(round(a.v, 6) - round(b.v, 6), 6) as delta from a full join b on a.event_type = b.event_type""")
+def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean value by event type in two halves of the month, and how it moved."""
+    events, mid = _read(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
+    mean = lambda rows: rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("v"))
+    return tables.metric_deltas(mean(events.where(F.col("ts") >= mid)), mean(events.where((F.col("ts") < mid) & (F.col("event_type") != "error"))), "event_type", "v")
+
+
+@_query("""select case when length(text) < 200 then 'low' when length(text) < 2000 then 'middle' else 'high' end as band, lang, count(*) as n from documents where text is not null group by all""")
+def routing_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by band and language."""
+    n = F.length("text")
+    band = F.when(n < 200, "low").when(n < 2000, "middle").otherwise("high")
+    return _read(spark, sf_dir, "documents").where("text is not null").groupBy(band.alias("band"), "lang").agg(F.count("*").alias("n"))
