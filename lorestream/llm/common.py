@@ -3,6 +3,8 @@ iteration and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -51,6 +53,29 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+_ROWS = 4000
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batches to 4,000 rows where they are larger.
+
+    Whole texts go through Python workers; each holds a batch, and so does the
+    JVM on both sides of it. The setting stays, as plans read it when they run.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > _ROWS:
+        df.sparkSession.conf.set(key, str(_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give a worker's free memory back; workers wait for the next stage with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most so many bytes in a string or binary column, or with one row."""
     for batch in batches:
@@ -63,6 +88,7 @@ def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def text_bytes(batch: pa.RecordBatch) -> list[bytes]:
@@ -93,6 +119,8 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    release()
 
 
 def find_roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import byte_slices
+from lorestream.llm.common import byte_slices, steady
 from lorestream.llm.rolling import Rolling, U
 
 WORDS = 1 << 15
@@ -227,7 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     held are not learned from.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("n_chars").cast("long"), F.length("text"), F.lit(0)).alias("n_chars"))
+    own = steady(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("n_chars").cast("long"), F.length("text"), F.lit(0)).alias("n_chars"))
     seen = labels.where("quality is not null and doc_id is not null").where(~fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own, seen, **how))
     scored = own.mapInArrow(_scored(model), "doc_id long, score double")

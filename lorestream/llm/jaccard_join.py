@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import byte_slices, components, discard, materialize, text_bytes, whole_groups
+from lorestream.llm.common import byte_slices, components, discard, materialize, steady, text_bytes, whole_groups
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -285,7 +285,7 @@ def join_classes(docs: DataFrame, words: int = 4, percent: int = 85, often: int
     `few` need no second round.
     """
     spark = docs.sparkSession
-    own = _own(docs)
+    own = _own(steady(docs))
     counted = own.mapInArrow(_frequent(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     top = counted.orderBy(F.desc("n"), "shingle").limit(listed).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(top)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import WORD, byte_slices, discard, materialize
+from lorestream.llm.common import WORD, byte_slices, discard, materialize, steady
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -152,7 +152,7 @@ def _block(seed: int) -> Column:
 
 def _dealt(docs: DataFrame, weights: tuple[int, ...], limit: int, shards: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Tables that tell each row's copies: sizes (a row each), sources, blocks, and rows of blocks that targets end in."""
-    sizes = materialize(with_sizes(docs), "sizes")
+    sizes = materialize(with_sizes(steady(docs)), "sizes")
     goal = targets(sizes, weights, limit).select(
         F.expr(KEY).alias("key"), "source_size", "target", F.round("target").cast("long").alias("quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("parts")
     )

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import byte_slices, materialize
+from lorestream.llm.common import byte_slices, materialize, release, steady
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMO, _KEPT, _LONGEST = 150_000, 30_000, 64
@@ -139,6 +139,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
         ids_of.rest()
+        release()
 
     return run
 
@@ -226,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     tokenizer: file for the tokenizers library, of a tokenizer that drops white
     space and never crosses it.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = steady(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = materialize(own.mapInArrow(_tokenized(tokenizer, capacity, end_id), f"{_PIECES}, nth long"), "pieces")
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "nth"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))

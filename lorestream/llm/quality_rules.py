@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from lorestream.llm.common import byte_slices, steady
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 CHUNK = 4096
@@ -92,7 +94,7 @@ def verdict(raw: bytes, squeeze: zstandard.ZstdCompressor, share: float = 0.5) -
 def _rules(min_words: int, repeat_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in byte_slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
@@ -112,6 +114,6 @@ def _rules(min_words: int, repeat_percent: int):
 def with_quality(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """docs(text, ...) with the columns of RESULT."""
     names = [x.split()[0] for x in RESULT.split(", ")]
-    own = docs.drop(*names)
+    own = steady(docs).drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
     return own.mapInArrow(_rules(min_words, repeat_percent), f"{schema}, {RESULT}")

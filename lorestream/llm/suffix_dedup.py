@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lorestream.llm.common import byte_slices, text_bytes, whole_groups
+from lorestream.llm.common import byte_slices, steady, text_bytes, whole_groups
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAM = 28
@@ -536,7 +536,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, crowd: int = 1 << 15) ->
     columns, and tag, packed and ranges, replace columns of docs of their names.
     """
     taken = [x.split()[0] for x in _RESULT.split(", ")] + ["tag", "packed", "ranges"]
-    own = docs.drop(*taken).withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = steady(docs).drop(*taken).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = own.where("doc_id is not null")
     packed = packed_texts(known)
     packed = packed.where("doc_id is not null")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorestream.llm.common import byte_slices
+from lorestream.llm.common import byte_slices, steady
 
 MARK = "▁"
 _MEMO, _LONGEST = 300_000, 64
@@ -120,6 +120,6 @@ def _counted(path: str):
 
 def with_counts(docs: DataFrame, path: str) -> DataFrame:
     """docs(text, ...) with n_words, n_tokens and the score of the segmentation."""
-    own = docs.drop(*(x.split()[0] for x in RESULT.split(", ")))
+    own = steady(docs).drop(*(x.split()[0] for x in RESULT.split(", ")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
     return own.mapInArrow(_counted(path), f"{schema}, {RESULT}")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorestream.llm.common import byte_slices, discard, materialize, text_bytes
+from lorestream.llm.common import byte_slices, discard, materialize, steady, text_bytes
 from lorestream.llm.rolling import GOLDEN, Rolling, U, mix
 
 GRAMS = (4, 5, 6)
@@ -204,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     held are not learned from.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = steady(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = labels.where("toxic is not null and doc_id is not null").where(~fold).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own, seen, **how))
     scored = own.mapInArrow(_scored(model), "doc_id long, score double")
