@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +70,33 @@ def steady(df: DataFrame) -> DataFrame:
     return df
 
 
+_at_rest: list[Callable[[], None]] = []
+
+
+def at_rest(forget: Callable[[], None]) -> None:
+    """Call `forget` whenever a task of this worker has ended."""
+    _at_rest.append(forget)
+
+
 def release() -> None:
     """Give a worker's free memory back; workers wait for the next stage with what they hold."""
+    for forget in _at_rest:
+        forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@functools.cache
+def _frugal() -> None:
+    """From now on freed blocks of 1 MB and more go back to the system at once, whatever lies above them."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most so many bytes in a string or binary column, or with one row."""
+    _frugal()
     for batch in batches:
         n = batch.num_rows
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -101,6 +120,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
     Memory: one batch plus the longest run.
     """
+    _frugal()
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:

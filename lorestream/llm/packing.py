@@ -58,6 +58,7 @@ class WordIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        release()
 
     def _encoded(self, words: list[str]) -> Iterator[bytes]:
         for lo in range(0, len(words), 4096):
@@ -101,7 +102,12 @@ class WordIds:
         return out
 
     def rest(self) -> None:
-        self.known, self.older = dict(itertools.islice(self.known.items(), _KEPT)), {}
+        """Keep the words met first, as fresh objects side by side: old ones would hold whole blocks of memory each."""
+        words, ids = list(itertools.islice(self.known, _KEPT)), list(itertools.islice(self.known.values(), _KEPT))
+        words, ids, ends = " ".join(words), b"".join(ids), [0, *itertools.accumulate(map(len, ids))]
+        self.known, self.older = {}, {}
+        if len(ends) > 1:
+            self.known = dict(zip(words.split(" "), (ids[x:y] for x, y in itertools.pairwise(ends))))
 
 
 def _stem(word: str) -> tuple[str, str, bool]:

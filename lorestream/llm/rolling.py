@@ -6,6 +6,8 @@ from functools import cache
 
 import numpy as np
 
+from lorestream.llm.common import at_rest
+
 U = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15
 _BASES = (GOLDEN, 0xD1342543DE82EF95)
@@ -27,7 +29,9 @@ def _bytes(which: int) -> np.ndarray:
     return rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
+#: Powers up to the longest text a task has met so far; gone when it ends.
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+at_rest(_powers.clear)
 
 
 def _power(which: int, n: int, inverse: bool) -> np.ndarray:
