@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorestream.llm import embedding_dedup, factorization, jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from lorestream.llm import embedding_dedup, factorization, jaccard_join, license_scan, merkle, mixing, packing, quality_rules, sentencepieces, suffix_dedup, token_counts, toxicity, word_runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "set_id", "component_id")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: periodic runs of its words, the longest one, digests of all and of the text they collapse to."""
+    return word_runs.summary(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: leaf, source's root, root, digest of its proof, and the root a tampered copy leads to."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of token ids, and digests of the ids and of the text they decode to."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_word_runs": op11_word_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle_sql()}
