@@ -1,0 +1,3 @@
+"""Registered queries; each module adds its own to `queries.QUERIES` and `queries.ORACLE_SQL`."""
+
+from lorestream.plans import queries, stateful  # noqa: F401
