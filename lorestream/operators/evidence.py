@@ -32,7 +32,7 @@ def content_terms(query: Column, most: int = 16) -> Column:
 
 def quoted(query: Column) -> Column:
     """Phrases in double quotes."""
-    return F.filter(F.transform(_all(query, r'"([^"]{2,})"', 1), F.trim), lambda p: p != "")
+    return F.filter(F.transform(_all(query, r'"([^"]{2,})"', 1), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def support(query: Column, text: Column, source: Column, score: Column, exact: Column, entity: Column, numeric: Column) -> Column:
@@ -119,7 +119,7 @@ def boosted(hits: DataFrame, low: float = -0.1, high: float = 0.35) -> DataFrame
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def plain(text: Column) -> Column:
