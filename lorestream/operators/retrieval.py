@@ -218,3 +218,28 @@ def numbered(ranked: DataFrame, per: str = "query_id", preview: int = 100) -> Da
     content = F.col("content")
     shown = F.when(F.length(content) > preview, F.concat(F.substring(content, 1, preview), F.lit("..."))).otherwise(content)
     return ranked.withColumn("citation", F.row_number().over(Window.partitionBy(per).orderBy("rank", "doc_id"))).withColumn("preview", shown)
+
+
+def holders(passages: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the first document of docs(doc_id, text) that holds each of passages(query_id, passage), of all documents.
+
+    scores(query_id, doc_id, n_terms) are those of `bm25_scores`. A holder has all
+    index terms of a passage but for the first and the last, which it may hold as
+    parts of longer words; passages of one or two terms are looked for by their first
+    three characters. Candidates are compared with the whole passage.
+    """
+    terms = passages.select("query_id", "passage", F.size(F.array_distinct(T.tokens(F.col("passage")))).alias("terms"))
+    likely = scores.select("query_id", "doc_id", "n_terms").join(terms.where("terms > 2"), "query_id").where("n_terms >= terms - 2").select("query_id", "doc_id", "passage")
+    short = terms.where("terms <= 2 and passage <> ''").withColumn("gram", F.substring("passage", 1, 3))
+    sizes = [r.n for r in short.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2 and 3 at most
+    for n in sizes:
+        likely = likely.unionByName(_grams(docs, n).join(short.where(F.length("gram") == n), "gram").select("query_id", "doc_id", "passage"))
+    held = likely.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    return held.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _grams(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, gram): the distinct substrings of n characters of each text."""
+    at = F.sequence(F.lit(1), F.length("text") - (n - 1))
+    grams = F.array_distinct(F.transform(at, lambda i: F.col("text").substr(i, F.lit(n))))
+    return docs.where(F.length("text") >= n).select("doc_id", F.explode(grams).alias("gram"))

@@ -89,13 +89,10 @@ def query_verdict(query: Column, longest: int = 4000) -> Column:
 
 def latency_by(events: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, p50, p95 and maximum of a value by group, percentiles by linear interpolation."""
-    return events.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.percentile(value, 0.5), 3).alias("p50"),
-        F.round(F.percentile(value, 0.95), 3).alias("p95"),
-        F.max(value).alias("largest"),
-    )
+    out = events.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("largest"))
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        out = out.join(interpolated(events, group, value, share).withColumnRenamed("percentile", name), group, "left")
+    return out.select(group, "n", "mean", "p50", "p95", "largest")
 
 
 def nearest_rank(events: DataFrame, group: str, value: str, share: float) -> DataFrame:
@@ -107,6 +104,17 @@ def nearest_rank(events: DataFrame, group: str, value: str, share: float) -> Dat
     return placed.where((F.col("index") < F.col("upto")) & (F.col("index") >= F.col("upto") - F.col("n"))).select(group, F.col(value).alias("percentile"))
 
 
+def interpolated(events: DataFrame, group: str, value: str, share: float, digits: int = 3) -> DataFrame:
+    """(group, percentile) by linear interpolation between the two nearest values. Windows run over distinct values."""
+    counts = events.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    placed = counts.select(group, value, "n", F.sum("n").over(w.orderBy(value)).alias("upto"), ((F.sum("n").over(w) - 1) * share).alias("at"), (F.sum("n").over(w) - 1).alias("last"))
+    inside = lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("n"))
+    low = F.floor("at")
+    ends = placed.groupBy(group).agg(F.max(F.when(inside(low), F.col(value))).alias("low"), F.max(F.when(inside(F.least(low + 1, F.col("last"))), F.col(value))).alias("high"), F.max(F.col("at") - low).alias("part"))
+    return ends.select(group, F.round((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"), digits).alias("percentile"))
+
+
 def newest(events: DataFrame, n: int, group: str, order: str, tie: str) -> DataFrame:
     """The newest n events of each group."""
     w = Window.partitionBy(group).orderBy(F.desc(order), F.desc(tie))

@@ -548,8 +548,9 @@ def first_expected_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage the rank of the first document that holds it."""
     items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    best = _benchmark(spark, sf_dir)
-    held = best.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", "passage")).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    scores = retrieval.bm25_scores(items.withColumnRenamed("passage", "query"), docs, digits=6)
+    best = retrieval.top_k(scores, 20)
+    held = retrieval.holders(items, docs, scores)
     return tables.first_expected(best, held, "query_id", "doc_id").withColumn("first_rank", F.col("first_rank").cast("long"))
 
 

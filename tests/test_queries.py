@@ -3,7 +3,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lorestream.operators import retrieval
 from lorestream.plans import queries as Q
 from tests.conftest import SF
 
@@ -59,3 +61,23 @@ def test_dense_ties_beyond_the_candidates(spark, tmp_path):
     want = con.execute(Q.ORACLE_SQL["dense_topk_cosine"])
     names = [d[0] for d in want.description]
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+def test_first_holder_outside_the_best(spark, tmp_path):
+    """Thirty documents repeat a passage's words more often than the first that holds it; short passages lie inside words."""
+    passage = "alpha beta gamma delta epsilon zeta"
+    docs = [(0, f"xx{passage}yy " + "filler words here " * 60)] + [(i, "beta gamma delta epsilon " * 30) for i in range(1, 30)] + [(30, passage), (31, "unhappily"), (32, None), (33, "a b")]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(7, passage), (8, "happi"), (9, "no holder of this text"), (10, "ha"), (11, "words"), (12, "a")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = Q.QUERIES["first_expected_rank"](spark, str(tmp_path))
+    want = con.execute(Q.ORACLE_SQL["first_expected_rank"])
+    names = [d[0] for d in want.description]
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+    asked = Q.QUERIES["first_expected_rank"].__globals__["_read"](spark, str(tmp_path), "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = retrieval.bm25_scores(asked.withColumnRenamed("passage", "query"), texts, digits=6)
+    assert {r.query_id: r.doc_id for r in retrieval.holders(asked, texts, scores).collect()} == {7: 0, 8: 31, 10: 0 if "ha" in docs[0][1] else 31, 11: 0, 12: 0}
