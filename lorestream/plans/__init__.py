@@ -1,3 +1,3 @@
 """Registered queries; each module adds its own to `queries.QUERIES` and `queries.ORACLE_SQL`."""
 
-from lorestream.plans import queries, entities, evaluation, evidence, ingesting, metadata, office, stateful  # noqa: F401
+from lorestream.plans import queries, entities, evaluation, evidence, fragments, ingesting, metadata, office, stateful  # noqa: F401
