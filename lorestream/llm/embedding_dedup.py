@@ -3,13 +3,16 @@
 Vectors compare only within one label (and dimension). Equal vectors become one
 class first. In each tree a node projects its vectors on a random direction and
 splits where a bounded sample says that the two sides, spill included, leave
-least to compare; vectors within `spill` of the split go to both sides. Linked
-unit vectors are at most sqrt(2 - 2 * cosine) apart, so their projections rarely
-differ by more than both spills together; several trees with independent
-directions leave little chance of a miss. Trees grow in rounds of a few levels
+least to compare; vectors within the spill of the split go to both sides. Linked
+unit vectors are at most sqrt(2 - 2 * cosine) apart and projections of unit
+vectors spread by 1 / sqrt(dim), so the spill is `spill` / sqrt(dim), whatever the
+dimension: projections of linked vectors rarely differ by more than both spills
+together, and several trees with independent directions leave little chance of a
+miss. Trees grow in rounds of a few levels
 until leaves are small; each round fits all its subtrees on samples of at most
-`sample` rows a node and then places every row. A node that no split makes
-cheaper, as when very many vectors are nearly the same, stays a leaf.
+`sample` rows a node and then places every row. A node that none of
+several directions makes cheaper, as when very many vectors are nearly the same,
+stays a leaf.
 
 Within leaves all pairs are compared by cosine in double precision. A pair that
 meets in several leaves counts in the first of them only, which each row can
@@ -19,9 +22,11 @@ in blocks by many tasks. `components` unites the edges.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components,
 and rows with a null label, link with nothing (component = own id, kept); rows
-with a null vec_id are returned with null component and link with nothing;
-repeated rows under one vec_id are one vector, counted once; the empty table
-gives an empty result; other columns are ignored.
+with a null vec_id are returned with null component and link with nothing; rows
+equal in vec_id, label and vector are one vector, counted once; different vectors
+under one vec_id, or one under two labels, are vectors of their own, each with its
+links and component, the least vec_id among the vectors it reaches; the empty table
+gives an empty result; labels may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +41,13 @@ from pyspark.sql import functions as F
 
 from lorestream.llm.common import components, find_roots, materialize, whole_groups
 
-_NODE = "tree int, label int, dim int, path string"
+_NODE = "tree int, label string, dim int, path string"
+_TURNS = 4
 
 
-def direction(seed: int, tree: int, path: str, dim: int) -> np.ndarray:
-    """The unit vector a node projects on, from its place in the forest alone."""
-    v = np.random.default_rng([seed, tree, *path.encode()]).standard_normal(dim)
+def direction(seed: int, tree: int, path: str, dim: int, turn: int = 0) -> np.ndarray:
+    """The unit vector a node projects on at its nth try, from its place in the forest alone."""
+    v = np.random.default_rng([seed, tree, *path.encode(), *([1000 + turn] if turn else [])]).standard_normal(dim)
     return v / np.linalg.norm(v)
 
 
@@ -55,20 +61,23 @@ def best_cut(p: np.ndarray, spill: float, gain: float = 0.75) -> float | None:
     return float(p[at]) if pairs[at] <= gain else None
 
 
-def grow(x: np.ndarray, seed: int, tree: int, path: str, levels: int, spill: float, fewest: int = 32) -> tuple[dict[str, float], list[str]]:
-    """A subtree fitted on the sample x: inner paths to cuts, and paths that no cut makes cheaper."""
-    splits: dict[str, float] = {}
+def grow(x: np.ndarray, seed: int, tree: int, path: str, levels: int, spill: float, fewest: int = 32) -> tuple[dict[str, tuple[float, int]], list[str]]:
+    """A subtree fitted on the sample x: inner paths to cuts and turns of the direction, and paths that no cut makes cheaper."""
+    splits: dict[str, tuple[float, int]] = {}
     stuck: list[str] = []
 
     def split(rows: np.ndarray, at: str, depth: int) -> None:
         if depth == levels or depth and len(rows) < fewest:
             return
-        p = rows @ direction(seed, tree, at, x.shape[1])
-        cut = best_cut(p, spill)
-        if cut is None:
+        for turn in range(_TURNS):
+            p = rows @ direction(seed, tree, at, x.shape[1], turn)
+            cut = best_cut(p, spill)
+            if cut is not None:
+                break
+        else:
             stuck.append(at)
             return
-        splits[at] = cut
+        splits[at] = cut, turn
         split(rows[p <= cut + spill], at + "0", depth + 1)
         split(rows[p > cut - spill], at + "1", depth + 1)
 
@@ -76,7 +85,7 @@ def grow(x: np.ndarray, seed: int, tree: int, path: str, levels: int, spill: flo
     return splits, stuck
 
 
-def descend(x: np.ndarray, splits: dict[str, float], seed: int, tree: int, path: str, spill: float) -> Iterator[tuple[str, np.ndarray]]:
+def descend(x: np.ndarray, splits: dict[str, tuple[float, int]], seed: int, tree: int, path: str, spill: float) -> Iterator[tuple[str, np.ndarray]]:
     """(leaf, rows of x in it); rows near a split are in both of its sides."""
     stack = [(path, np.arange(len(x)))]
     while stack:
@@ -84,8 +93,9 @@ def descend(x: np.ndarray, splits: dict[str, float], seed: int, tree: int, path:
         if at not in splits:
             yield at, rows
             continue
-        p = x[rows] @ direction(seed, tree, at, x.shape[1])
-        stack += [(at + "0", rows[p <= splits[at] + spill]), (at + "1", rows[p > splits[at] - spill])]
+        cut, turn = splits[at]
+        p = x[rows] @ direction(seed, tree, at, x.shape[1], turn)
+        stack += [(at + "0", rows[p <= cut + spill]), (at + "1", rows[p > cut - spill])]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -100,9 +110,8 @@ def _fit(seed: int, levels: int, spill: float):
         node = rows.iloc[0]
         x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        order = np.lexsort(x.T)
-        splits, stuck = grow(x[order], seed, int(node.tree), node.path, levels, spill)
-        one = {"tree": node.tree, "label": node.label, "dim": node.dim, "path": node.path, "inner": list(splits), "cuts": list(splits.values()), "ends": stuck}
+        splits, stuck = grow(x[np.lexsort(x[:, :8].T)], seed, int(node.tree), node.path, levels, spill / np.sqrt(x.shape[1]))
+        one = {"tree": node.tree, "label": node.label, "dim": node.dim, "path": node.path, "inner": list(splits), "cuts": [c for c, _ in splits.values()], "turns": [t for _, t in splits.values()], "ends": stuck}
         return pd.DataFrame([one])
 
     return run
@@ -116,8 +125,8 @@ def _place(seed: int, spill: float):
             frame = batch.select(["tree", "label", "dim", "path"]).to_pandas()
             for (tree, label, dim, path), index in frame.groupby(["tree", "label", "dim", "path"]).indices.items():
                 one = batch.take(pa.array(index))
-                inner, cuts, ends = (one.column(c)[0].as_py() or [] for c in ("inner", "cuts", "ends"))
-                for leaf, rows in descend(_matrix(one.column("vector")), dict(zip(inner, cuts)), seed, tree, path, spill):
+                inner, cuts, turns, ends = (one.column(c)[0].as_py() or [] for c in ("inner", "cuts", "turns", "ends"))
+                for leaf, rows in descend(_matrix(one.column("vector")), dict(zip(inner, zip(cuts, turns))), seed, tree, path, spill / np.sqrt(dim)):
                     if len(rows):
                         out = one.take(pa.array(rows))
                         new = {"path": pa.array([leaf] * len(rows)), "stuck": pa.array([leaf in ends] * len(rows))}
@@ -143,7 +152,7 @@ def forest(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int,
             break
         large = sized.where("split")
         lot = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(sample / 2) / F.col("rows"))
-        fitted = large.where(lot).select(*node, "vector").groupBy(*node).applyInPandas(_fit(seed, levels, spill), f"{_NODE}, inner array<string>, cuts array<double>, ends array<string>")
+        fitted = large.where(lot).select(*node, "vector").groupBy(*node).applyInPandas(_fit(seed, levels, spill), f"{_NODE}, inner array<string>, cuts array<double>, turns array<int>, ends array<string>")
         now = materialize(large.drop("rows", "split").join(materialize(fitted, "splits"), node, "left").mapInArrow(_place(seed, spill), schema), "placed")
     else:
         done = done.unionByName(now.drop("stuck"))
@@ -215,15 +224,16 @@ def _compare(least: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.98, trees: int = 4, leaf: int = 512, spill: float = 0.015, sample: int = 4096, levels: int = 4, seed: int = 5, rounds: int = 24, block: int = 4096
+    vectors: DataFrame, least: float = 0.98, trees: int = 4, leaf: int = 512, spill: float = 0.12, sample: int = 4096, levels: int = 4, seed: int = 5, rounds: int = 24, block: int = 4096
 ) -> DataFrame:
     """Per row of vectors(vec_id, embedding, label): n_links, component_id, kept."""
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"), F.col("label").cast("int").alias("label"))
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"), F.col("label").cast("string").alias("label"))
     fit = "vec_id is not null and label is not null and vector is not null and forall(vector, v -> v is not null and not isnan(v) and abs(v) < float('infinity')) and exists(vector, v -> v <> 0)"
     good = own.where(F.expr(fit)).withColumn("dim", F.size("vector")).withColumn("key", F.sha2(F.expr("concat_ws(',', vector)"), 256))
-    good = good.dropDuplicates(["vec_id"])
-    classes = materialize(good.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "classes")
-    leaves = forest(classes.drop("key"), trees, leaf, spill, sample, levels, seed, rounds)
+    classes = good.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("weight"), F.first("vector").alias("vector"))
+    # From here to the end vec_id numbers classes; the table keeps the numbers.
+    classes = materialize(classes.withColumn("vec_id", F.monotonically_increasing_id()), "classes")
+    leaves = forest(classes.drop("key", "least"), trees, leaf, spill, sample, levels, seed, rounds)
     node = ["tree", "label", "dim", "path"]
     leaves = leaves.withColumn("home", F.xxhash64(*node))
     homes = leaves.groupBy("vec_id").agg(F.array_sort(F.collect_set("home")).alias("homes"))
@@ -239,12 +249,14 @@ def near_duplicates(
     found = materialize(seated.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_compare(least), _FOUND), "found")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    per_class = classes.join(counts, "vec_id", "left").join(component, F.col("vec_id") == F.col("id"), "left").select(
-        "label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
+    united = classes.select("vec_id", "least").join(component, F.col("vec_id") == F.col("id")).groupBy("component").agg(F.min("least").alias("component_id"))
+    known = component.join(united, "component").select(F.col("id").alias("vec_id"), "component_id")
+    per_class = classes.join(counts, "vec_id", "left").join(known, "vec_id", "left").select(
+        "label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")
     )
+    rest = own.where(~F.coalesce(F.expr(fit), F.lit(False))).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     members = good.select("vec_id", "label", "dim", "key").join(per_class, ["label", "dim", "key"]).select("vec_id", "n_links", "component_id")
-    out = own.select("vec_id").join(members, "vec_id", "left")
-    return out.select(
+    return members.unionByName(rest).select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
