@@ -41,7 +41,7 @@ def run(spark, rows, tmp_path, parts, make):
     return sorted((tuple(r) for r in spark.read.parquet(at).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_one_run_equals_restarts(spark, tmp_path, seed):
     rows = events(seed)
     cases = {
