@@ -13,6 +13,7 @@ the query it starts and no other.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,10 +41,13 @@ def run_to_end(make: Callable[[], DataFrame], at: str, mode: str = "append") ->
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's output and checkpoint, in the folder that driver and executors share."""
+    """A new folder for a stream or a store, in the folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorestream-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/lorestream-{name}-{uuid.uuid4().hex}"
 
 
