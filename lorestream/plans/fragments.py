@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestream.functions import text as T
-from lorestream.operators import tables
+from lorestream.operators import retrieval, tables
 from lorestream.plans.queries import _in, _query, _read
 
 
@@ -141,3 +141,25 @@ def staged_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.update_where(rows, (F.col("state") == "staging") & (F.col("o_orderkey") % 2 == 0), {"state": F.lit("ready")})
     rows = tables.update_where(rows, F.col("o_totalprice") > 400000, {"o_orderpriority": F.lit("large")})
     return rows.groupBy("state", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+def _legal(column: str) -> str:
+    kept = f"(length(t) >= 2 or regexp_matches(t, '^[0-9]$')) and ({_CAPS.format('t')} or lower(t) not in ({_in(T.STOPWORDS)}))"
+    return f"list_transform(list_filter(regexp_extract_all({column}, '{'|'.join((T.SECTION_SIGN, T.CODE, T.COMPOUND))}'), lambda t: {kept}), lambda t: case when {_CAPS.format('t')} then t else lower(t) end)"
+
+
+_TEXT = f"{_picked('doc_id', CODES)} || coalesce(text, '')"
+_ASK = f"text || ' ' || {_picked('item_id', ['§ 501(c)(3)', 'IRS', '42(a) pre-trial', '7'])}"
+
+
+@_query(f"""with bag as (select doc_id, {_legal(_TEXT)} as b from documents), tot as (select count(*) as n, avg(len(b)) as mean from bag), post as (select doc_id, len(b) as dl, unnest(b) as token from bag), tf as (select token, doc_id, dl, count(*) as tf from post group by all),
+df as (select token, count(*) as df from tf group by token), asked as (select item_id as query_id, token, count(*) as qtf from (select item_id, unnest({_legal(_ASK)}) as token from benchmark) group by all),
+bm as (select query_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score from asked join tf using (token) join df using (token), tot group by all)
+select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from bm qualify rank <= 10""")
+def legal_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each passage with a code the ten documents of highest BM25 by the tokenizer that keeps codes and capitals."""
+    ask = F.concat("text", F.lit(" "), _pick("item_id", ["§ 501(c)(3)", "IRS", "42(a) pre-trial", "7"]))
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), ask.alias("query"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(_pick("doc_id", CODES), F.coalesce("text", F.lit(""))).alias("text"))
+    out = retrieval.bm25(queries, docs, k=10, tokenize=T.legal_tokens, digits=6)
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
