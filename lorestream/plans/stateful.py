@@ -68,3 +68,11 @@ c as (select user_id, seq, n, true as allowed, [us] as held from q where n = 1 u
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that a limit of three a day admits, where refused ones do not count."""
     return _result(spark, "limited", state.limited(_events(spark, sf_dir), 3, 86_400))
+
+
+@_query()
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of jobs, one a user: transitions with deadlines, attempts and retention; held against brute force."""
+    kinds = F.create_map(*(F.lit(x) for pair in (("signup", "created"), ("view", "started"), ("click", "started"), ("error", "failed"), ("purchase", "succeeded")) for x in pair))
+    events = _events(spark, sf_dir, F.coalesce(kinds[F.col("event_type")], F.lit("other")).alias("event")).withColumnRenamed("user_id", "job_id")
+    return _result(spark, "jobs", state.job_states(events, 172_800, 86_400, 2))

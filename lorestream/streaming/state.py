@@ -285,3 +285,85 @@ def folded(turns: DataFrame, most: int = 10, longest: int = 500, brief: int = 15
     """
     schema = "conv_id long, turn_id long, query string, answer string, summary string, held long, pushed_out long"
     return turns.groupBy("conv_id").transformWithStateInPandas(Fold(most, longest, brief), schema, "append", "None")
+
+
+class Jobs(StatefulProcessor):
+    """The states of a job: queued, running, retrying, and at last succeeded, failed or timed_out."""
+
+    def __init__(self, timeout: int, keep: int, attempts: int) -> None:
+        self.timeout, self.keep, self.attempts = timeout, keep, attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "state string, attempt long, due long")
+
+    def due(self, job: tuple | None, us: int) -> tuple[tuple | None, list[tuple]]:
+        """The job after what falls due before us: its deadline, then the end of its keeping."""
+        out = []
+        if job and job[0] not in FINAL and us > job[2]:
+            out.append((job[2], "timed_out", job[1]))
+            job = ("timed_out", job[1], job[2] + self.keep)
+        if job and job[0] in FINAL and us > job[2]:
+            job = None
+        return job, out
+
+    def step(self, job: tuple | None, us: int, event: str) -> tuple[tuple | None, list[tuple]]:
+        """The job after an event and its transitions (time, state, attempt); events that do not fit the state change nothing."""
+        job, out = self.due(job, us)
+        state, attempt, until = job or (None, 0, 0)
+        if event == "created" and job is None:
+            state, until = "queued", us + self.timeout
+        elif event == "started" and state in ("queued", "retrying"):
+            state, attempt = "running", attempt + 1
+        elif event == "failed" and state == "running":
+            state = "retrying" if attempt < self.attempts else "failed"
+        elif event == "succeeded" and state == "running":
+            state = "succeeded"
+        else:
+            return job, out
+        return (state, attempt, us + self.keep if state in FINAL else until), [*out, (us, state, attempt)]
+
+    def _rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame(out, columns=["at", "state", "attempt"]).astype({"at": "int64", "state": "object", "attempt": "int64"})
+        frame.insert(0, "job_id", pd.Series([key[0]] * len(out), dtype="int64"))
+        yield frame
+
+    def _keep(self, job: tuple | None) -> None:
+        if job:
+            self.job.update(job)
+            _rearm(self.handle, job[2])
+        else:
+            self.job.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        job, told = tuple(self.job.get()) if self.job.exists() else None, []
+        for us, event in _ordered(rows)[["us", "event"]].itertuples(index=False):
+            job, out = self.step(job, us, event)
+            told += out
+        self._keep(job)
+        yield from self._rows(key, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        job = tuple(self.job.get()) if self.job.exists() else None
+        job, told = self.due(job, timerValues.getCurrentWatermarkInMs() * 1000)
+        self._keep(job)
+        yield from self._rows(key, told)
+
+    def close(self) -> None:
+        pass
+
+
+FINAL = ("succeeded", "failed", "timed_out")
+
+
+def job_states(events: DataFrame, timeout_seconds: float = 300, keep_seconds: float = 3600, attempts: int = 3, late: str = "10 minutes") -> DataFrame:
+    """(job_id, at, state, attempt): transitions of streamed events(job_id, ts, seq, event), event being created, started, failed or succeeded.
+
+    A job that is not finished timeout_seconds after its creation times out at that
+    moment, once the watermark or an event has passed it. A failed attempt is tried
+    again up to `attempts` in all. A finished job is known for keep_seconds, during
+    which its number cannot be created anew.
+    """
+    jobs = Jobs(int(timeout_seconds * 1_000_000), int(keep_seconds * 1_000_000), attempts)
+    out = _timed(events, late).groupBy("job_id").transformWithStateInPandas(jobs, "job_id long, at long, state string, attempt long", "append", "EventTime")
+    return _told(out, "at")

@@ -91,3 +91,40 @@ def test_fold_over_two_runs(spark, tmp_path):
     long = got[2, 3].answer
     assert long.endswith("...") and len(long) <= 503 and not long[:-3].endswith(" ")
     assert (got[1, 5].query, got[1, 5].answer) == ("", "")
+
+
+def expected_jobs(rows, now, timeout, keep, attempts):
+    """Each job's events in order, with what falls due between them, up to the watermark."""
+    out, final = [], ("succeeded", "failed", "timed_out")
+    for user in sorted({r[0] for r in rows}):
+        state = attempt = until = None
+        for t, kind in [*((r[1], r[4]) for r in rows if r[0] == user), (now, None)]:
+            if state and state not in final and t > until:
+                out.append((user, until, "timed_out", attempt))
+                state, until = "timed_out", until + keep
+            if state in final and t > until:
+                state = None
+            before = state
+            if kind == "created" and state is None:
+                state, attempt, until = "queued", 0, t + timeout
+            elif kind == "started" and state in ("queued", "retrying"):
+                state, attempt = "running", attempt + 1
+            elif kind == "failed" and state == "running":
+                state = "retrying" if attempt < attempts else "failed"
+            elif kind == "succeeded" and state == "running":
+                state = "succeeded"
+            if state != before:
+                out.append((user, t, state, attempt))
+                until = t + keep if state in final else until
+    return sorted(out, key=str)
+
+
+def test_jobs_equal_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(*r[:4], rng.choice(["created", "created", "started", "started", "failed", "succeeded", "other"])) for r in events(7, 300, 5)]
+    make = lambda s: S.job_states(s.select(F.col("user_id").alias("job_id"), "ts", "seq", F.col("cache_key").alias("event")), 40_000, 15_000, 2, "10 seconds")
+    whole = run(spark, rows, tmp_path / "jobs", 1, make)
+    seconds = lambda n: datetime.timedelta(seconds=n)
+    want = expected_jobs(rows, max(r[1] for r in rows) - seconds(10), seconds(40_000), seconds(15_000), 2)
+    assert whole == want and {r[2] for r in want} == {"queued", "running", "retrying", "succeeded", "failed", "timed_out"}
+    assert whole == run(spark, rows, tmp_path / "jobs", 2, make)
