@@ -32,18 +32,19 @@ def test_suite(spark, tmp_path):
 GOOD = {"status": "success", "answer": "The  Fee is due", "citations": [{"source": "A.pdf", "text": "x"}, {"source": "Lease.pdf"}], "_runner_latency_seconds": 2.5, "metadata": {"answer_state": "grounded", "sparse_debug": {"total_ms": 12, "lexical_backend": "fts"}}}
 
 
-@pytest.mark.parametrize(
-    ("expect", "failures"),
-    [
-        ({}, []), ({"status": "error"}, ["status"]), ({"answer_state_in": ["partial"]}, ["answer_state_in"]), ({"min_citations": 3}, ["min_citations"]), ({"min_citations": 2}, []),
-        ({"sources_any": "lease.PDF"}, []), ({"sources_all": ["a.pdf", "b.pdf"]}, ["sources_all"]), ({"entities_any": ["zz", "the fee"]}, []), ({"entities_all": ["fee", "zz"]}, ["entities_all"]), ({"codes_any": ["zz"]}, ["codes_any"]),
-        ({"answer_contains_any": ["lease"]}, ["answer_contains_any"]), ({"not_contains": ["lease"]}, ["not_contains"]), ({"max_latency_seconds": 2}, ["max_latency_seconds"]), ({"max_sparse_ms": 5}, ["max_sparse_ms"]), ({"retrieval_backend_in": ["bm25"]}, ["retrieval_backend_in"]),
-        ({"status": "error", "min_citations": 9, "sources_any": [], "unknown": 1}, ["min_citations", "status"]),
-    ],
-)
-def test_predicates(spark, expect, failures):
-    row = outcome(spark, expect, GOOD)
-    assert row.failures == failures and row.passed == (not failures)
+EXPECTED = [
+    ({}, []), ({"status": "error"}, ["status"]), ({"answer_state_in": ["partial"]}, ["answer_state_in"]), ({"min_citations": 3}, ["min_citations"]), ({"min_citations": 2}, []),
+    ({"sources_any": "lease.PDF"}, []), ({"sources_all": ["a.pdf", "b.pdf"]}, ["sources_all"]), ({"entities_any": ["zz", "the fee"]}, []), ({"entities_all": ["fee", "zz"]}, ["entities_all"]), ({"codes_any": ["zz"]}, ["codes_any"]),
+    ({"answer_contains_any": ["lease"]}, ["answer_contains_any"]), ({"not_contains": ["lease"]}, ["not_contains"]), ({"max_latency_seconds": 2}, ["max_latency_seconds"]), ({"max_sparse_ms": 5}, ["max_sparse_ms"]), ({"retrieval_backend_in": ["bm25"]}, ["retrieval_backend_in"]),
+    ({"status": "error", "min_citations": 9, "sources_any": [], "unknown": 1}, ["min_citations", "status"]),
+]
+
+
+def test_predicates(spark):
+    cases = E.suite(lines(spark, [{"id": str(i), "kb_id": "k", "query": "q", "expect": expect} for i, (expect, _) in enumerate(EXPECTED)]))
+    rows = spark.createDataFrame([(str(i), json.dumps(GOOD)) for i in range(len(EXPECTED))], "id string, r string").select("id", F.try_parse_json("r").alias("response"))
+    got = {r.id: (r.failures, r.passed) for r in E.evaluate(cases, rows).collect()}
+    assert got == {str(i): (failures, not failures) for i, (_, failures) in enumerate(EXPECTED)}
 
 
 def test_metrics_of_a_case(spark):

@@ -52,7 +52,7 @@ def test_one_run_equals_restarts(spark, tmp_path, seed):
     }
     for name, make in list(cases.items())[:: 1 if seed == 1 else 2]:
         whole = run(spark, rows, tmp_path / name, 1, make)
-        assert whole and whole == run(spark, rows, tmp_path / name, 3, make), name
+        assert whole and whole == run(spark, rows, tmp_path / name, 2, make), name
     if seed == 1:
         assert run(spark, rows, tmp_path / "again", 1, cases["limit"]) == expected_limits(rows)
 
