@@ -156,3 +156,23 @@ def regression_metrics(responses: DataFrame) -> DataFrame:
     for name, share in (("latency_p50", 0.5), ("latency_p95", 0.95)):
         flat = flat.unionByName(tables.interpolated(rows, "one", "latency", share).select(F.lit(name).alias("metric"), F.col("one").alias("key"), F.col("percentile").alias("value")))
     return states.unionByName(flat)
+
+
+def canary(metrics: DataFrame, baseline: DataFrame, least_pass: float = 0.9, least_accuracy: float = 0.9, slowest: float = 20.0, drop: float = 0.02, slower: float = 2.0) -> DataFrame:
+    """Whether each group of metrics may go to a canary, against a baseline of one row; blockers name all that is against it.
+
+    A measure that a side lacks blocks nothing, but a group without any case has a pass rate of 0.
+    """
+    rate = lambda: F.coalesce(F.round(F.col("passed") / F.nullif(F.col("total"), F.lit(0)), 4), F.lit(0.0))
+    now = metrics.withColumn("pass_rate", rate())
+    then = baseline.select(F.struct(rate().alias("pass_rate"), "source_accuracy", "latency_p95").alias("then")).limit(1)
+    both = now.join(F.broadcast(then), F.lit(True), "left")  # the one row of the baseline
+    moved = both.select("*", *(F.round(F.col(c) - F.col(f"then.{c}"), 4).alias(f"{c}_delta") for c in ("pass_rate", "source_accuracy", "latency_p95")))
+    against = {
+        "retrieval_gate_failed": F.col("failed") > 0, "hard_pass_rate_below_threshold": F.col("pass_rate") < least_pass, "hard_source_accuracy_below_threshold": F.col("source_accuracy") < least_accuracy,
+        "hard_latency_p95_above_threshold": F.col("latency_p95") > slowest, "source_accuracy_regressed_vs_baseline": F.col("source_accuracy_delta") < -drop,
+        "pass_rate_regressed_vs_baseline": F.col("pass_rate_delta") < -drop, "latency_regressed_vs_baseline": F.col("latency_p95_delta") > slower,
+    }
+    blockers = F.array_compact(F.array(*(F.when(bad, code) for code, bad in against.items())))
+    told = moved.withColumn("blockers", blockers)
+    return told.select("group", "pass_rate", "source_accuracy", "latency_p95", "pass_rate_delta", "source_accuracy_delta", "latency_p95_delta", "blockers", (F.size("blockers") == 0).alias("eligible"))
