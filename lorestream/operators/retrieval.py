@@ -33,18 +33,28 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+_NEAR_ROWS = 1 << 18
+
+
+def near(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables as long as `asked`, one row for each term of a query, meet the corpus: up to 2^18 rows, which are counted first, go to every task."""
+    return F.broadcast if asked.limit(_NEAR_ROWS + 1).count() <= _NEAR_ROWS else lambda rows: rows
+
+
 def query_postings(queries: DataFrame, docs: DataFrame, tokenize: Callable[[Column], Column] = T.tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(asked, hits, totals): query_id, token, qtf; token, doc_id, dl, tf of tokens asked for; n_docs, mean in one row.
 
     The corpus is tokenised once: beside its tokens each document has one null
-    token, which no query holds, so that one exchange of counts gives postings and
-    totals; all readers of it have equal plans up to there.
+    token, which no query holds, so that one exchange of tokens gives postings and
+    totals; all readers of it have equal plans up to there. It deals by document, so
+    no task holds a frequent token's postings, and scores need no second exchange.
     """
     bag = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("bag"))
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     wanted = asked.select(F.col("token").alias("wanted")).distinct()
     each = bag.select("doc_id", F.size("bag").alias("dl"), F.explode(F.array_append("bag", F.lit(""))).alias("token"))
-    kept = each.join(wanted.unionByName(queries.sparkSession.range(1).select(F.lit("").alias("wanted"))), F.col("token") == F.col("wanted"), "left_semi")
+    wanted = near(asked)(wanted.unionByName(queries.sparkSession.range(1).select(F.lit("").alias("wanted"))))
+    kept = each.join(wanted, F.col("token") == F.col("wanted"), "left_semi").repartition("doc_id")
     posted = kept.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
     mark = F.col("token") == ""
     totals = posted.agg(F.sum(F.when(mark, F.col("tf"))).alias("n_docs"), (F.sum(F.when(mark, F.col("dl") * F.col("tf"))) / F.sum(F.when(mark, F.col("tf")))).alias("mean"))
@@ -68,7 +78,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float =
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     known = df.crossJoin(F.broadcast(totals)).select("token", "mean", idf.alias("idf"))  # totals is one row
-    hits = posted.join(known, "token").select("token", "doc_id", weight.alias("w")).join(asked, "token")
+    hits = posted.join(near(asked)(asked.join(known, "token")), "token").withColumn("w", weight)
     score = F.sum(F.col("w") * F.col("qtf"))
     return hits.groupBy("query_id", "doc_id").agg((score if digits is None else F.round(score, digits)).alias("score"), F.count("*").alias("n_terms"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorestream.operators.retrieval import top_k
+from lorestream.operators.retrieval import near, top_k
 
 # Words no sparse vector holds, the number of dimensions, and the fields a sparse text is made of.
 STOPWORDS = (
@@ -77,8 +77,11 @@ def postings(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def dot_top_k(queries: DataFrame, docs: DataFrame, k: int = 50, digits: int = 9) -> DataFrame:
-    """The k documents of highest dot product for each query, of queries(query_id, terms) and docs(doc_id, terms); ties by doc_id."""
+    """The k documents of highest dot product for each query, of queries(query_id, terms) and docs(doc_id, terms); ties by doc_id.
+
+    Vectors are dealt by document and few terms asked for go to every task, so scores need no exchange of postings.
+    """
     asked = postings(queries, "query_id").withColumnRenamed("weight", "asked")
-    met = postings(docs, "doc_id").join(asked, "index")
+    met = postings(docs.select("doc_id", "terms").repartition("doc_id"), "doc_id").join(near(asked)(asked), "index")
     scores = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), digits).alias("score"))
     return top_k(scores, k)

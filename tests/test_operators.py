@@ -87,3 +87,16 @@ def test_streams(spark, tmp_path):
     run.awaitTermination(120)
     assert {r.event_id: r.allowed for r in spark.table("limited").collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 9: True}
     assert E.admit([0, 1, 2, 61], [], 2, 60.0)[0] == [True, True, False, True]
+
+
+def test_scores_move_no_postings_by_token(spark):
+    from lorestream.operators import retrieval, sparse
+
+    docs = spark.createDataFrame([(i, f"common word{i % 3}") for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common word1"), (2, "word2")], "query_id long, query string")
+    scores = retrieval.bm25_scores(asked, docs)
+    assert {(r.query_id, r.n) for r in scores.groupBy("query_id").count().withColumnRenamed("count", "n").collect()} == {(1, 20), (2, 6)}
+    vectors = sparse.with_vectors(asked.withColumnRenamed("query", "text")).select("query_id", "terms"), sparse.with_vectors(docs).select("doc_id", "terms")
+    for rows in (scores, sparse.dot_top_k(*vectors)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(index" not in plan and "hashpartitioning(doc_id" in plan
