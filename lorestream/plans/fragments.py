@@ -46,8 +46,9 @@ w as (select doc_id, array_to_string(list_filter(regexp_extract_all({_SPACED.for
 select doc_id, md5(w.text) as cleaned, md5(array_to_string(list_filter(l, lambda x, i: i = 1 or trim(x, ' ') <> trim(l[i - 1], ' ')), chr(10))) as lines, md5(s.text) as stripped from w join c using (doc_id) join s using (doc_id)""")
 def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document cleaned whole, cleaned with its lines, and without noise only."""
-    text = F.col("text")
-    return _noisy(spark, sf_dir).select("doc_id", F.md5(T.clean(text, urls=True, emails=True)).alias("cleaned"), F.md5(T.clean_lines(text)).alias("lines"), F.md5(T.strip_noise(text)).alias("stripped"))
+    text = F.col("stripped")
+    stripped = _noisy(spark, sf_dir).select("doc_id", T.strip_noise(F.col("text")).alias("stripped"))  # noise goes once, all three start from it
+    return stripped.select("doc_id", F.md5(T.clean_stripped(text, urls=True, emails=True)).alias("cleaned"), F.md5(T.clean_stripped_lines(text)).alias("lines"), F.md5(text).alias("stripped"))
 
 
 CODES = ["See § 501(c)(3) and the IRS, ", "Rule 42(a) on pre-trial boxes 7: ", "US companies' statuses ", "I a 5 THE ", ""]
