@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestream.functions import text as T
+from lorestream.streaming.state import written
 
 _SCHEMAS = {
     "outcomes": "file_id long, change string, status string, n_chunks long, ingest_version long",
@@ -85,6 +86,7 @@ def ingest(changed: DataFrame, root: str, version: int, chunker: Chunker, before
     """
     spark = changed.sparkSession
     judged = changed.withColumn("status", F.when(F.col("change").isin("new", "modified"), T.gate_reason(F.col("text"), T.quality_score(F.col("text")))).otherwise(F.col("change")))
+    judged = written(judged.withColumn("text", F.when(F.col("status") == "accepted", F.col("text"))), "judged")  # read twice, judged once
     accepted = judged.where("status = 'accepted'").select("file_id", "text")
     chunker(accepted).write.mode("overwrite").parquet(_folder(spark, root, "chunks", version))
     staged = spark.read.parquet(_folder(spark, root, "chunks", version)).groupBy("file_id").agg(F.count("*").alias("n_chunks"), (F.max("chunk_index") - F.min("chunk_index") + 1).alias("expected"))
