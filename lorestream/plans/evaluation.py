@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorestream.operators import evaluation
 from lorestream.plans.queries import _BM25, _benchmark, _query, _read
-from lorestream.streaming.state import place
+from lorestream.streaming.state import place, written
 
 
 def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     debug = F.struct((i % 60).alias("total_ms"), F.when(i % 2 == 0, "bm25").otherwise("fts").alias("lexical_backend"))
     meta = F.struct(state.alias("answer_state"), debug.alias("sparse_debug"), F.struct(F.when(i % 5 > 0, 100 * (i % 5)).alias("max_tokens")).alias("generation_decision"), F.struct(F.when(i % 3 == 0, "direct_support").alias("admission_status")).alias("evidence_admission"))
     body = F.struct(F.when(i % 17 == 0, "error").otherwise("success").alias("status"), F.col("answer"), F.when(i % 13 == 0, F.slice("citations", 1, 0)).otherwise(F.col("citations")).alias("citations"), ((i * 37) % 100 / 10).alias("_runner_latency_seconds"), meta.alias("metadata"))
-    return per.select(F.concat(F.lit("c"), i.cast("string")).alias("id"), F.parse_json(F.to_json(body)).alias("response"))
+    told = written(per.select(F.concat(F.lit("c"), i.cast("string")).alias("id"), F.to_json(body).alias("body")), "responses")  # metrics read it once for each percentile
+    return told.select("id", F.parse_json("body").alias("response"))
 
 
 _N = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'), ' ')"

@@ -81,3 +81,20 @@ def test_first_holder_outside_the_best(spark, tmp_path):
     texts = spark.createDataFrame(docs, "doc_id long, text string")
     scores = retrieval.bm25_scores(asked.withColumnRenamed("passage", "query"), texts, digits=6)
     assert {r.query_id: r.doc_id for r in retrieval.holders(asked, texts, scores).collect()} == {7: 0, 8: 31, 10: 0 if "ha" in docs[0][1] else 31, 11: 0, 12: 0}
+
+
+def test_costly_steps_are_said_once(spark, monkeypatch, tmp_path):
+    from lorestream.operators import ingest
+    from lorestream.plans import evaluation as suites
+    from lorestream.streaming import state
+
+    plan = Q.QUERIES["cleaned_texts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^(?:https?://|www") == 1
+    names = []
+    monkeypatch.setattr(ingest, "written", lambda rows, name: names.append(name) or state.written(rows, name))
+    monkeypatch.setattr(suites, "written", lambda rows, name: names.append(name) or state.written(rows, name))
+    docs = spark.createDataFrame([(1, "One two three. " * 40), (2, "short"), (3, None)], "file_id long, text string")
+    got = ingest.sync(docs, f"{tmp_path}/store", 1, ingest.pages_of(20))
+    assert {(r.file_id, r.status) for r in got.collect()} == {(1, "accepted"), (2, "too_short"), (3, "empty")}
+    suites._responses(spark, SF)
+    assert names == ["judged", "responses"]
