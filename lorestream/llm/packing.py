@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,13 +37,20 @@ from pyspark.sql import functions as F
 from lorestream.llm.common import byte_slices, materialize, release, steady
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_MEMO, _KEPT, _LONGEST = 150_000, 30_000, 64
-_MARKS = ",.;:!?"
+_MEMO, _KEPT, _LONGEST = 300_000, 60_000, 64
+#: What the fast way knows: text up to U+017F without the one letter that lower case makes two of, and common
+#: typographic marks; normal form leaves it as it is. Then the tokenizer's own parts, spelled out for these characters.
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*")
+_L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PARTS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+")
+_OWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """Token ids of texts, word by word: right for tokenizers that lower case, drop white space, never cross
-    it and part letters and digits from what follows them.
+    """Token ids of texts, part by part: right for tokenizers that lower case, drop white space and never cross it.
+
+    Where the tokenizer cuts at `_OWN`, plain texts are cut so here and each different part goes to its byte-pair
+    model alone; other texts are cut at white space and their words go through the whole tokenizer.
 
     Ids are packed little-endian 32-bit. A memo of two generations serves all tasks of a Python worker: when the
     newer is full the older goes, and words met again move to the newer. Long words are not kept; after a task only the
@@ -51,11 +60,15 @@ class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        cut = json.loads(self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else "{}").get("pretokenizers", [])
+        kinds = [n["type"] for n in json.loads(self.tokenizer.normalizer.__getstate__()).get("normalizers", [])] if self.tokenizer.normalizer else []
+        self.by_parts = kinds == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": _OWN} and cut[0]["invert"]
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {i: spell(chr(i))[0][0] for i in [*range(0x180), *range(0x2010, 0x2028), 0x20AC]}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         release()
@@ -65,38 +78,38 @@ class WordIds:
             for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False):
                 yield struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def _letters(self, words: list[str]) -> Iterator[bytes]:
-        """Of words of letters alone, which end at the first token that ends a word: many in one text."""
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
-            raw = ids.tobytes()
-            if len(cuts) == len(part) + 1:
-                yield from (raw[x:y] for x, y in zip(cuts, cuts[1:]))
-            else:
-                yield from self._encoded(part)
-
-    def learn(self, words: list[str]) -> None:
-        parts = [_stem(w) for w in words]
-        plain = {s for s, _, letters in parts if letters}
-        other = {x for s, mark, letters in parts for x in (mark, "" if letters else s)}
-        plain, other = list(plain), list(other)
-        found = dict(zip(plain, self._letters(plain))) | dict(zip(other, self._encoded(other)))
-        for w, (stem, mark, _) in zip(words, parts):
-            self.known[w] = found[stem] + found[mark]
+    def _part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() and part.isprintable() else part.translate(self.spelled))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str], parts: set[str]) -> None:
+        """Words between white space as they are met, and parts of plain texts."""
+        self.known.update((x, self._part(x)) for x in parts)
+        plain = {w: _PARTS.findall(w.lower()) for w in words if self._plain(w)}
+        self.known.update((w, b"".join(map(self._part, own))) for w, own in plain.items())
+        other = list(words.difference(plain))
+        self.known.update(zip(other, self._encoded(other)))
+
+    def _plain(self, text: str) -> bool:
+        return self.by_parts and (text.isascii() or _PLAIN.fullmatch(text) is not None) and "<|" not in text
+
+    def _new(self, split: list[list[str]]) -> set[str]:
+        """What the memo does not know; of that, what its older half knows goes to the newer."""
+        missing = set().union(*split).difference(self.known)
+        again = self.older.keys() & missing
+        self.known.update((w, self.older[w]) for w in again)
+        return missing - again
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        plain = list(map(self._plain, texts))
+        split = [_PARTS.findall(t.lower()) if p else t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t, p in zip(texts, plain)]
         if len(self.known) > _MEMO:
             self.older, self.known = self.known, {}
-        missing = set().union(*split).difference(self.known)
-        again = missing.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        missing = list(missing - again)
-        self.learn(missing)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in missing:
+        parts = self._new(list(itertools.compress(split, plain)))
+        words = self._new([s for s, p in zip(split, plain) if not p]) - parts
+        self.learn(words, parts)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
+        for w in itertools.chain(words, parts):
             if len(w) > _LONGEST:
                 del self.known[w]
         return out
@@ -110,19 +123,6 @@ class WordIds:
             self.known = dict(zip(words.split(" "), (ids[x:y] for x, y in itertools.pairwise(ends))))
 
 
-def _stem(word: str) -> tuple[str, str, bool]:
-    """A word as two parts that the tokenizer treats apart, itself, in lower case where that is plain, and a closing
-    mark; and whether the first is only letters that lower case and normal form leave as they are."""
-    if not word.isascii() and (max(word) > "\u017f" or "\u0130" in word) or "<|" in word:
-        return word, "", False
-    if word.isalpha():
-        return word.lower(), "", True
-    if word[-1:] in _MARKS and word[-2:-1].isalnum():
-        stem = word[:-1].lower()
-        return stem, word[-1], stem.isalpha()
-    return word.lower(), "", False
-
-
 @functools.cache
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)

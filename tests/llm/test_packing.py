@@ -76,6 +76,22 @@ def test_fuzzed_texts_give_the_ids_of_whole_texts(monkeypatch):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids_of(part)] == want
 
 
+def test_plain_texts_skip_the_whole_tokenizer_and_a_part_is_modelled_once():
+    from tokenizers import Tokenizer
+
+    chars = [chr(i) for i in [*range(0x180), *range(0x2010, 0x2028), 0x20AC] if i != 0x130]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices([*chars, "'s", "'LL", "Word", "word,", " "], k=60)).replace("<|", "<") for _ in range(300)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    ids_of = P.WordIds(PATH)
+    ids_of.tokenizer = None
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids_of(texts)] == want
+    met = []
+    ids_of._part = lambda part, whole=ids_of._part: met.append(part) or whole(part)
+    ids_of(["Zebrawood, zebrawood. ZEBRAWOOD"])
+    assert met == ["zebrawood"]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_fullest_is_the_best_subset(seed):
     rng = random.Random(seed)
