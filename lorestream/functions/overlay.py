@@ -103,29 +103,41 @@ def primary_entities(content: Column, given: Column | None = None, most: int = 2
 
 def overlay(content: Column, source: Column, profile: Column | None = None, given: Column | None = None, failed: Column | None = None) -> Column:
     """Struct of the overlay. profile: general, legal_precision or evidence_archive; null reads it off the text."""
-    content = F.coalesce(content, F.lit(""))
-    source = F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown"))
-    low, fam = blob(content, source), family(source)
-    hint = F.when(F.contains(low, F.lit("family code")) | F.contains(low, F.lit("evidence code")), "legal_precision").otherwise("general")
-    hint = hint if profile is None else F.coalesce(profile, hint)
-    code = low.rlike(CODES)
+    content, source = F.coalesce(content, F.lit("")), F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown"))
+    # What several fields ask for is computed once, in three steps: field by field the whole text would be read again for each use.
+    return T._let(F.struct(content.alias("content"), source.alias("source")), lambda x: T._let(_seen(x["content"], x["source"]), lambda y: T._let(_read(x, y, profile, failed), lambda z: _told(x, y, z, given))))
+
+
+def _seen(content: Column, source: Column) -> Column:
+    sent = F.coalesce(header(content, "date"), F.nullif(F.regexp_extract(F.substring(content, 1, 1500), DATE, 0), F.lit("")))
     number = F.coalesce(F.nullif(F.regexp_extract(source, SECTION, 1), F.lit("")), F.nullif(F.regexp_extract(F.substring(content, 1, 1200), SECTION, 1), F.lit("")))
-    section = F.when((hint == "legal_precision") | code & (hint != "evidence_archive"), F.replace(number, F.lit(" "), F.lit("")))
-    sender, subject = header(content, "from"), header(content, "subject")
     to = F.filter(F.transform(F.split(F.coalesce(header(content, "to"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
-    sent = F.coalesce(header(content, "date"), F.nullif(F.regexp_extract(F.substring(content, 1, 1500), DATE, 0), F.lit("")))
-    mail = sender.isNotNull() | (F.size(to) > 0) | subject.isNotNull()
+    return F.struct(
+        blob(content, source).alias("low"), family(source).alias("fam"), header(content, "from").alias("sender"), header(content, "subject").alias("subject"),
+        to.alias("to"), sent.alias("sent"), number.alias("number"),
+    )
+
+
+def _read(x: Column, y: Column, profile: Column | None, failed: Column | None) -> Column:
+    low = y["low"]
+    hint = F.when(F.contains(low, F.lit("family code")) | F.contains(low, F.lit("evidence code")), "legal_precision").otherwise("general")
+    hint = hint if profile is None else F.coalesce(profile, hint)
+    mail = y["sender"].isNotNull() | (F.size(y["to"]) > 0) | y["subject"].isNotNull()
+    return F.struct(low.rlike(CODES).alias("code"), hint.alias("hint"), mail.alias("mail"), quality_flags(x["content"], x["source"], failed).alias("flags"), F.when(mail, "email").otherwise(source_type(low, x["source"])).alias("kind"))
+
+
+def _told(x: Column, y: Column, z: Column, given: Column | None) -> Column:
+    low, fam, code = y["low"], y["fam"], z["code"]
+    section = F.when((z["hint"] == "legal_precision") | code & (z["hint"] != "evidence_archive"), F.replace(y["number"], F.lit(" "), F.lit("")))
     topics = _named(
-        ("evidence_code", code & F.contains(low, F.lit("evidence code"))), ("family_code", code & F.contains(low, F.lit("family code"))), ("email", mail), *((t, _any(low, m)) for t, m in TOPICS.items())
+        ("evidence_code", code & F.contains(low, F.lit("evidence code"))), ("family_code", code & F.contains(low, F.lit("family code"))), ("email", z["mail"]), *((t, _any(low, m)) for t, m in TOPICS.items())
     )
-    kind = F.when(mail, "email").otherwise(source_type(low, source))
-    flags = quality_flags(content, source, failed)
     fields = _named(*((f, _any(low, m)) for f, m in FIELDS.items()), ("file_lookup", fam != ""), ("section_lookup", F.coalesce(section, F.lit("")) != ""))
     return F.struct(
         T.document_id(fam).alias("document_id"), fam.alias("source_family"),
-        F.when((kind == "unknown") & (F.size(topics) > 0), "product_doc").otherwise(kind).alias("source_type"),
-        F.when(mail, "email").when(code, "statute").otherwise(document_type(low)).alias("document_type"),
-        section.alias("section_id"), F.when(code, "california").alias("jurisdiction"), topics.alias("topic_path"), flags.alias("quality_flags"),
-        primary_entities(content, given).alias("primary_entities"), sender.alias("email_sender"), to.alias("email_recipients"), subject.alias("email_subject"), sent.alias("email_date"),
-        F.array_sort(fields).alias("answerable_fields"), quality_score(content, flags).alias("quality"),
+        F.when((z["kind"] == "unknown") & (F.size(topics) > 0), "product_doc").otherwise(z["kind"]).alias("source_type"),
+        F.when(z["mail"], "email").when(code, "statute").otherwise(document_type(low)).alias("document_type"),
+        section.alias("section_id"), F.when(code, "california").alias("jurisdiction"), topics.alias("topic_path"), z["flags"].alias("quality_flags"),
+        primary_entities(x["content"], given).alias("primary_entities"), y["sender"].alias("email_sender"), y["to"].alias("email_recipients"), y["subject"].alias("email_subject"), y["sent"].alias("email_date"),
+        F.array_sort(fields).alias("answerable_fields"), quality_score(x["content"], z["flags"]).alias("quality"),
     )

@@ -72,3 +72,9 @@ def test_profiles_and_given_names(spark):
 def test_sentences_keep_their_digits(spark):
     got = spark.range(1).select(evidence.sentences(F.lit("0 of it. 1 was 1. 2")).alias("s"), evidence.quoted(F.lit('say "0 fox 0" or " 11 "')).alias("q")).first()
     assert got.s == ["0 of it.", "1 was 1.", "2"] and got.q == ["0 fox 0", "11"]
+
+
+def test_an_overlay_reads_a_text_once_for_all_its_fields(spark):
+    rows = spark.createDataFrame([("a text", "f.txt")], "content string, source string").select(overlay.overlay(F.col("content"), F.col("source")).alias("o")).select("o.*")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat(") == 1
