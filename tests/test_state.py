@@ -1,6 +1,8 @@
 import datetime
 import random
+from unittest import mock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def test_a_replayed_run_adds_nothing(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_a_batch_of_a_user_costs_the_cache_three_calls_of_the_store():
+    cache, handle = S.Cache(10), mock.Mock()
+    cache.init(handle)
+    stored = handle.getValueState.return_value
+    rows = lambda us: iter([pd.DataFrame({"us": us, "seq": range(len(us)), "cache_key": list("abcdefgh"[: len(us)])})])
+    stored.get.return_value = None
+    assert next(cache.handleInputRows((7,), rows([5, 1, 3]), None)).seq.tolist() == [1, 2, 0]
+    assert (handle.method_calls[1:], stored.method_calls) == ([mock.call.registerTimer(1)], [mock.call.get(), mock.call.update((["b", "c", "a"], [1, 3, 5]))])
+    stored.get.return_value = (["b", "a"], [1, 5])
+    assert next(cache.handleInputRows((7,), rows([12, 11]), None)).hit.tolist() == [True, True]
+    assert handle.method_calls[2:] == [] and len(stored.method_calls) == 4
+    timer = mock.Mock(getExpiryTimeInMs=lambda: 1)
+    stored.get.return_value = (["b", "a"], [1, 995])
+    assert list(cache.handleExpiredTimer((7,), None, timer)) == [] and stored.method_calls[-1] == mock.call.update((["a"], [995]))
+    stored.get.return_value = (["b"], [1])
+    assert list(cache.handleExpiredTimer((7,), None, timer)) == [] and stored.method_calls[-1] == mock.call.clear()
+
+
 def test_fold_over_two_runs(spark, tmp_path):
     schema = "conv_id long, turn long, role string, text string"
     turns = [(c, t, "assistant" if t % 2 else "user", f"{c}.{t} " * (1 if t < 4 else 200)) for c in (1, 2) for t in range(8)]
