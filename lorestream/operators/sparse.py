@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +41,24 @@ def _index(token: str, dimensions: int) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big") % dimensions
 
 
-def weights(text: str | None, dimensions: int = DIMENSIONS, most: int = 512) -> list[tuple[int, float]]:
-    """(index, weight) of a text's first tokens, by index, of length one: 1 + ln(count), tokens of one index added up."""
-    stop, counts, n = set(STOPWORDS), Counter(), 0
-    for found in TOKEN.finditer(text or ""):
-        token = found.group().strip(".-").lower()
-        if token and token not in stop and (len(token) > 1 or token.isdigit()):
-            counts[token] += 1
-            n += 1
-            if n == most:
-                break
+def _token(found: str, stop: frozenset[str] = frozenset(STOPWORDS)) -> str:
+    """What is found, bare and in lower case; empty for stop words and lone letters."""
+    token = found.strip(".-").lower()
+    return token if token not in stop and (len(token) > 1 or token.isdigit()) else ""
+
+
+def weights(text: str | None, dimensions: int = DIMENSIONS, most: int | None = 512) -> list[tuple[int, float]]:
+    """(index, weight) of a text's tokens, by index, of length one: 1 + ln(count), tokens of one index added up.
+
+    Only the first `most` tokens count, as many as the reference takes unless told otherwise; None: all.
+    """
+    counts: Counter[str] = Counter()
+    if most is None:
+        for found, n in Counter(TOKEN.findall(text or "")).items():
+            if token := _token(found):
+                counts[token] += n
+    else:
+        counts.update(islice(filter(None, (_token(x.group()) for x in TOKEN.finditer(text or ""))), most))
     sums: dict[int, float] = {}
     for token, count in counts.items():
         at = _index(token, dimensions)
@@ -56,18 +67,28 @@ def weights(text: str | None, dimensions: int = DIMENSIONS, most: int = 512) ->
     return sorted((at, w / size) for at, w in sums.items())
 
 
-def with_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, most: int = 512) -> DataFrame:
-    """docs with `terms`, an array of (index, weight) by index; empty for null texts. One pass, no shuffle."""
+_ROWS = 256
+
+
+def with_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, most: int | None = 512, keep_text: bool = True) -> DataFrame:
+    """docs with `terms`, an array of (index, weight) by index, of the first `most` tokens (None: all); empty for null texts. One pass, no shuffle."""
     own = docs.drop("terms")
-    names = own.columns
-    kind = pa.list_(pa.struct([("index", pa.int32()), ("weight", pa.float64())]))
+    names = [c for c in own.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"index": i, "weight": w} for i, w in weights(t, dimensions, most)] for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, kind)], names=[*names, "terms"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                ends, index, weight = [0], array("i"), array("d")
+                for t in part.column(text):
+                    for i, w in weights(t.as_py(), dimensions, most):
+                        index.append(i)
+                        weight.append(w)
+                    ends.append(len(index))
+                terms = pa.StructArray.from_arrays([pa.array(np.array(index, dtype=np.int32)), pa.array(np.array(weight, dtype=np.float64))], names=["index", "weight"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=[*names, "terms"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*names).schema.fields)
     return own.mapInArrow(run, f"{schema}, terms array<struct<index:int,weight:double>>")
 
 
@@ -79,9 +100,11 @@ def postings(vectors: DataFrame, key: str) -> DataFrame:
 def dot_top_k(queries: DataFrame, docs: DataFrame, k: int = 50, digits: int = 9) -> DataFrame:
     """The k documents of highest dot product for each query, of queries(query_id, terms) and docs(doc_id, terms); ties by doc_id.
 
-    Vectors are dealt by document and few terms asked for go to every task, so scores need no exchange of postings.
+    Few terms asked for go to every task. Of a vector only those move, dealt by document, so scores need no exchange of postings.
     """
     asked = postings(queries, "query_id").withColumnRenamed("weight", "asked")
-    met = postings(docs.select("doc_id", "terms").repartition("doc_id"), "doc_id").join(near(asked)(asked), "index")
+    few = near(asked)
+    kept = postings(docs.select("doc_id", "terms"), "doc_id").join(few(asked.select("index").distinct()), "index", "left_semi")
+    met = kept.repartition("doc_id").join(few(asked), "index")
     scores = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), digits).alias("score"))
     return top_k(scores, k)

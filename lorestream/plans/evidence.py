@@ -207,7 +207,7 @@ def sparse_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each passage the ten documents of highest sparse dot product; held against brute force, as SQL lacks the hash."""
-    queries = sparse.with_vectors(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")).drop("text")
-    docs = sparse.with_vectors(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """For each passage the ten documents of highest sparse dot product of whole texts; held against brute force, as SQL lacks the hash."""
+    queries = sparse.with_vectors(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), most=None, keep_text=False)
+    docs = sparse.with_vectors(_read(spark, sf_dir, "documents").select("doc_id", "text"), most=None, keep_text=False)
     return sparse.dot_top_k(queries, docs, 10, 6)

@@ -44,6 +44,30 @@ def test_sparse_vectors_and_dot_products(spark, dimensions):
         assert [s for _, s in best] == pytest.approx([ranks[q.query_id][i + 1][1] for i in range(len(best))], abs=2e-6)
 
 
+def test_sparse_topk_takes_whole_texts(spark, tmp_path):
+    from lorestream.plans.queries import QUERIES
+
+    words = [f"word{i}" for i in range(900)]
+    texts = {1: " ".join(words), 2: " ".join(["filler"] * 700 + ["Late-Word.", "late-word", "§ 12"]), 3: None, 4: "late-word word899 other", 5: " ".join(words[:600])}
+    asked = {1: "late-word", 2: " ".join(reversed(words)), 3: "word899 word3"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.query_id, r.doc_id): (r["rank"], r.score) for r in QUERIES["sparse_topk"](spark, str(tmp_path)).collect()}
+    have = {i: brute_weights(t, most=None) for i, t in texts.items()}
+    want = {}
+    for q, text in asked.items():
+        w = brute_weights(text, most=None)
+        scores = sorted((-sum(x * have[i].get(t, 0.0) for t, x in w.items()), i) for i in have if have[i].keys() & w.keys())
+        want |= {(q, i): (n, pytest.approx(-s, abs=2e-6)) for n, (s, i) in enumerate(scores, 1)}
+    assert got == want and (1, 2) in got and (3, 1) in got
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_tokens_are_counted_the_same_whole_and_cut(most):
+    for text in ("The Fee. fee- FEE of 5 a § §5 .x-", "", None, "b b2 b2. B2-"):
+        assert dict(sparse.weights(text, most=most)) == pytest.approx(brute_weights(text, most=most))
+
+
 def test_relaxation_equals_the_loop(spark):
     rng = random.Random(5)
     hits = {(q, s): rng.sample(range(12), rng.choice([0, 0, 1, 2, 5])) for q in range(60) for s in range(3)}
